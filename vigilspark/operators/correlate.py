@@ -200,116 +200,128 @@ def all_rules(detection: Sequence[DetectionRule] = BUILTIN_RULES) -> list[Correl
 # --- participations ---------------------------------------------------------------------
 
 
-def _lookup(table: dict[str, list[str]]) -> Column:
-    """Literal map of string arrays."""
-    pairs: list[Column] = []
-    for key, values in table.items():
-        pairs += [F.lit(key), F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")]
-    return F.create_map(*pairs)
-
-
-def participations(alerts: DataFrame, rules: Sequence[CorrelationRule]) -> DataFrame:
-    """One row per alert and correlation type it can take part in, as trigger or partner."""
-    options = [
-        F.when(
+def _floor_div(value: Column, width: Column) -> Column:
+    return ((value - F.pmod(value, width)) / width).cast("bigint")
+
+
+def _bit(position: int) -> int:
+    return 1 << position
+
+
+def _has(mask: Column, bits: int) -> Column:
+    return mask.bitwiseAND(F.lit(bits).cast("bigint")) != 0
+
+
+def _takes(asked_mask: Column, rule_order: Column) -> Column:
+    """Whether a trigger of the rule at this position takes the alert as partner."""
+    return F.call_function("getbit", asked_mask, rule_order) == 1
+
+
+def _classes(detection: Sequence[DetectionRule]) -> list[tuple[str, int]]:
+    """Kinds of alerts to count: a rule, or a rule at one severity where that varies."""
+    out: list[tuple[str, int]] = []
+    for r in detection:
+        out += [(r.rule_id, s) for s in (r.severity_levels if r.severity is None else (r.severity,))]
+    if len(out) > 63 or len(detection) > 63:
+        raise ValueError("more than 63 kinds of alerts: give each correlation job fewer detection rules")
+    return out
+
+
+def participations(
+    alerts: DataFrame, rules: Sequence[CorrelationRule], detection: Sequence[DetectionRule] = BUILTIN_RULES
+) -> DataFrame:
+    """One row per alert and correlation type it can take part in, as trigger or partner.
+
+    ``partner_mask`` has a bit per kind of alert this one would take as partner if it
+    triggers; ``asked_mask`` has a bit per detection rule whose trigger would take this one.
+    """
+    classes = _classes(detection)
+    order = {r.rule_id: i for i, r in enumerate(detection)}
+
+    def by_rule(values: dict[str, int]) -> Column:
+        out = F.lit(0)
+        for rule_id, value in values.items():
+            out = F.when(F.col("rule_id") == rule_id, F.lit(value)).otherwise(out)
+        return out.cast("bigint")
+
+    def option(r: CorrelationRule) -> Column:
+        partner = {t: sum(_bit(i) for i, (c, _) in enumerate(classes) if c in ps) for t, ps in r.pairs.items()}
+        asked = {m: sum(_bit(order[t]) for t, ps in r.pairs.items() if m in ps and t in order) for m in r.members}
+        return F.when(
             F.col("rule_id").isin(*r.members) & r.entity().isNotNull(),
             F.struct(
                 F.lit(r.correlation_type).alias("correlation_type"),
                 r.entity().alias("entity_key"),
                 F.lit(r.window_seconds * 1_000_000).cast("bigint").alias("window_us"),
+                by_rule(partner).alias("partner_mask"),
+                by_rule(asked).alias("asked_mask"),
             ),
         )
-        for r in rules
-    ]
+
+    kind = F.lit(-1)
+    for i, (rule_id, severity) in enumerate(classes):
+        kind = F.when((F.col("rule_id") == rule_id) & (F.col("severity") == severity), F.lit(i)).otherwise(kind)
     return (
-        alerts.withColumn("p", F.explode(F.array_compact(F.array(*options))))
+        alerts.withColumn("p", F.explode(F.array_compact(F.array(*[option(r) for r in rules]))))
         .select(
             "p.*", "alert_id", "event_id", "timestamp", "rule_id", "rule_order", "severity",
+            kind.alias("class_no"),
             F.col("evidence").getItem("dataset_id").alias("dataset_id"),
             F.col("evidence").getItem("dataset_name").alias("dataset_name"),
             F.unix_micros("timestamp").alias("ts_us"),
         )
-        .withColumn("bin", F.floor(F.col("ts_us") / F.col("window_us")))
+        .withColumn("bin", _floor_div(F.col("ts_us"), F.col("window_us")))
     )
 
 
-def _classes(detection: Sequence[DetectionRule]) -> list[tuple[str, int]]:
-    """Kinds of alerts to count: a rule, or a rule at one severity where that varies."""
-    out: list[tuple[str, int]] = []
-    for r in detection:
-        out += [(r.rule_id, s) for s in (r.severity_levels if r.severity is None else (r.severity,))]
-    return out
-
-
-def score_participations(
-    parts: DataFrame, rules: Sequence[CorrelationRule], detection: Sequence[DetectionRule] = BUILTIN_RULES
-) -> DataFrame:
+def score_participations(parts: DataFrame, detection: Sequence[DetectionRule] = BUILTIN_RULES) -> DataFrame:
     """Adds to every participation what arrived before it within the window.
 
-    New columns: ``partners`` (number of partner alerts), ``matched_rules`` and
-    ``matched_severity`` (highest) of the match set, the alert itself included.
+    New columns: ``partners`` (number of partner alerts) and ``matched_mask`` (kinds of
+    alerts in the match, the alert itself included).
     """
     classes = _classes(detection)
     names = [f"c{i}" for i in range(len(classes))]
-    is_class = [
-        (F.col("rule_id") == rule) & (F.col("severity") == severity) for rule, severity in classes
-    ]
-    can_trigger = F.concat_ws("|", "correlation_type", "rule_id").isin(
-        *[f"{r.correlation_type}|{t}" for r in rules for t in r.pairs]
-    )
-    slot = F.floor(F.col("at_us") / (F.col("window_us") / SLOTS_PER_WINDOW))
     # kind 1: the alert itself; kind 0: a probe at the lower edge of its band
-    ends = parts.select(
-        *KEY, "window_us", "alert_id", "event_id", "rule_id", "severity",
-        F.explode(
-            F.when(
-                can_trigger,
-                F.array(
-                    F.struct(F.lit(0).alias("kind"), (F.col("ts_us") - F.col("window_us")).alias("at_us")),
-                    F.struct(F.lit(1).alias("kind"), F.col("ts_us").alias("at_us")),
-                ),
-            ).otherwise(F.array(F.struct(F.lit(1).alias("kind"), F.col("ts_us").alias("at_us"))))
-        ).alias("e"),
-    ).select(
-        *KEY, "window_us", "alert_id", "event_id", "e.kind", "e.at_us",
-        *[F.when((F.col("e.kind") == 1) & c, 1).otherwise(0).alias(n) for n, c in zip(names, is_class)],
-    ).withColumn("slot", slot)
-
+    here = F.struct(F.lit(1).alias("kind"), F.col("ts_us").alias("at_us"), F.col("class_no"))
+    edge = F.struct(
+        F.lit(0).alias("kind"), (F.col("ts_us") - F.col("window_us")).alias("at_us"), F.lit(-1).alias("class_no")
+    )
+    ends = (
+        parts.withColumn("e", F.explode(F.when(F.col("partner_mask") != 0, F.array(here, edge)).otherwise(F.array(here))))
+        .select(
+            *KEY, _floor_div(F.col("e.at_us"), _floor_div(F.col("window_us"), F.lit(SLOTS_PER_WINDOW))).alias("slot"),
+            "alert_id", "event_id", "e.kind", "e.at_us", "e.class_no",
+        )
+    )
+    ones = [(F.col("class_no") == i).cast("bigint") for i in range(len(classes))]
     in_slot = Window.partitionBy(*KEY, "slot").orderBy("at_us", "kind", "event_id")
     running = ends.select(
-        *KEY, "slot", "alert_id", "kind", *[F.sum(n).over(in_slot).alias(n) for n in names]
+        *KEY, "slot", "alert_id", "kind", *[F.sum(one).over(in_slot).alias(n) for n, one in zip(names, ones)]
     )
     before = Window.partitionBy(*KEY).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ends.groupBy(*KEY, "slot").agg(*[F.sum(n).alias(n) for n in names])
+        ends.groupBy(*KEY, "slot").agg(*[F.sum(one).alias(n) for n, one in zip(names, ones)])
         .select(*KEY, "slot", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"o{n}") for n in names])
     )
+    sign = F.when(F.col("kind") == 1, 1).otherwise(-1)
     bands = (
         running.join(offsets, [*KEY, "slot"])
         .groupBy("correlation_type", "alert_id")
-        .agg(*[
-            F.sum(F.when(F.col("kind") == 1, F.col(n) + F.col(f"o{n}")).otherwise(-F.col(n) - F.col(f"o{n}"))).alias(n)
-            for n in names
-        ])
+        .agg(*[F.sum(sign * (F.col(n) + F.col(f"o{n}"))).alias(n) for n in names])
     )
-    scored = parts.join(bands, ["correlation_type", "alert_id"])
-
-    partners, matched, highest = F.lit(0), [F.col("rule_id")], F.col("severity")
-    pair = F.concat_ws("|", "correlation_type", "rule_id")
-    for (rule, severity), name in zip(classes, names):
-        asking = [f"{r.correlation_type}|{t}" for r in rules for t, ps in r.pairs.items() if rule in ps]
-        if not asking:
-            continue
-        own = F.when((F.col("rule_id") == rule) & (F.col("severity") == severity), 1).otherwise(0)
-        count = F.when(pair.isin(*asking), F.col(name) - own).otherwise(0)
-        partners = partners + count
-        matched.append(F.when(count > 0, F.lit(rule)))
-        highest = F.greatest(highest, F.when(count > 0, F.lit(severity)))
+    found = F.array(*[
+        F.when(_has(F.col("partner_mask"), _bit(i)), F.col(n) - (F.col("class_no") == i).cast("bigint")).otherwise(0)
+        for i, n in enumerate(names)
+    ])
+    scored = parts.join(bands, ["correlation_type", "alert_id"]).select(*parts.columns, found.alias("found"))
+    mask = F.when(F.col("class_no") >= 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("class_no"))).otherwise(F.lit(0).cast("bigint"))
+    for i in range(len(classes)):
+        mask = mask.bitwiseOR(F.when(F.get("found", i) > 0, F.lit(_bit(i)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
     return scored.select(
         *parts.columns,
-        partners.cast("bigint").alias("partners"),
-        F.array_sort(F.array_distinct(F.array_compact(F.array(*matched)))).alias("matched_rules"),
-        highest.cast("int").alias("matched_severity"),
+        F.aggregate("found", F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("partners"),
+        mask.alias("matched_mask"),
     )
 
 
@@ -333,17 +345,36 @@ def correlation_matches(
         "entity": F.col("entity_key"), "n": F.col("partners") + 1, "partners": F.col("partners"),
         "dataset_name": F.col("dataset_name"),
     }
-    technique = _lookup({r.rule_id: list(r.mitre) for r in detection})
-    found = F.flatten(F.transform("matched_rules", lambda x: technique[x]))
+    classes = _classes(detection)
+    mask = F.col("matched_mask")
+
+    def bits(wanted: Callable[[str, int], bool]) -> int:
+        return sum(_bit(i) for i, c in enumerate(classes) if wanted(*c))
+
+    def named(values: dict[str, int]) -> Column:
+        picked = F.array_compact(F.array(*[F.when(_has(mask, b), F.lit(v)) for v, b in sorted(values.items()) if b]))
+        return picked
+
+    matched_rules = named({r.rule_id: bits(lambda c, _, r=r: c == r.rule_id) for r in detection})
+    rules_of = {m: {r.rule_id for r in detection if m in r.mitre} for r in detection for m in r.mitre}
 
     def mitre(r: CorrelationRule) -> Column:
         if r.mitre is not None:
             return F.array(*[F.lit(m) for m in r.mitre])
-        extra = F.array(*[F.lit(m) for m in r.extra_mitre]) if r.extra_mitre else F.array().cast("array<string>")
-        return F.array_sort(F.array_distinct(F.concat(found, extra)))
+        everything = bits(lambda c, _: True)
+        return named({
+            m: everything if m in r.extra_mitre else bits(lambda c, _, m=m: c in rules_of[m])
+            for m in set(rules_of) | set(r.extra_mitre)
+        })
 
     def severity(r: CorrelationRule) -> Column:
-        value = F.col("matched_severity") if r.severity is None else r.severity(F.col("partners") + 1)
+        if r.severity is None:
+            levels = sorted({level for _, level in classes})
+            value = F.greatest(F.lit(0), F.col("severity"), *[
+                F.when(_has(mask, bits(lambda _, x, level=level: x == level)), F.lit(level)) for level in levels
+            ])
+        else:
+            value = r.severity(F.col("partners") + 1)
         return value.cast("int")
 
     fields = {
@@ -355,9 +386,9 @@ def correlation_matches(
         "time_window_seconds": lambda r: F.lit(r.window_seconds),
         "host": lambda r: F.substring_index("entity_key", "host:", -1),
         "rules_correlated": lambda r: F.to_json(
-            F.array(*[F.lit(m) for m in r.members]) if r.mitre is not None else F.col("matched_rules")
+            F.array(*[F.lit(m) for m in r.members]) if r.mitre is not None else matched_rules
         ),
-        "distinct_rules": lambda r: F.to_json("matched_rules"),
+        "distinct_rules": lambda r: F.to_json(matched_rules),
         "dataset_id": lambda r: F.col("dataset_id"),
         "dataset_name": lambda r: F.col("dataset_name"),
     }
@@ -377,7 +408,7 @@ def correlation_matches(
         _per_rule(rules, lambda r: _fmt(r.description, **texts)).alias("description"),
         _per_rule(rules, mitre).alias("mitre_techniques"),
         _per_rule(rules, evidence).alias("evidence"),
-        "matched_rules",
+        matched_rules.alias("matched_rules"),
     )
 
 
@@ -393,17 +424,6 @@ class Correlations(NamedTuple):
     outcomes: DataFrame
 
 
-def _asked_by(rules: Sequence[CorrelationRule]) -> Column:
-    """Alert rules that, when they trigger, take this alert as partner."""
-    table: dict[str, list[str]] = {}
-    for r in rules:
-        for trigger, partners in r.pairs.items():
-            for p in partners:
-                table.setdefault(f"{r.correlation_type}|{p}", []).append(trigger)
-    found = F.try_element_at(_lookup(table), F.concat_ws("|", "correlation_type", "rule_id"))
-    return F.coalesce(found, F.array().cast("array<string>"))
-
-
 def _around(points: DataFrame) -> DataFrame:
     """A point concerns the alerts of its own bin and of the bin before."""
     return points.withColumn("at_bin", F.col("bin")).withColumn(
@@ -433,16 +453,16 @@ def _last_growing(
     narrow = parts.drop("window_us")
     inside = narrow.join(band, [*KEY, "bin"]).where(in_band)
     if use_prior:
-        earlier = triggers.select(*KEY, "bin", "rule_id", "ts_us", "event_id")
+        earlier = triggers.select(*KEY, "bin", "rule_order", "ts_us", "event_id")
         prior = (
             earlier.join(band.drop("siblings"), [*KEY, "bin"])
             .where(in_band & (_arrival() < _arrival("p_")))
-            .groupBy(*KEY, "episode", "rule_id").agg(F.max(_arrival()).alias("key"))
-            .groupBy(*KEY, "episode").agg(F.collect_list(F.struct("rule_id", "key")).alias("prior"))
+            .groupBy(*KEY, "episode", "rule_order").agg(F.max(_arrival()).alias("key"))
+            .groupBy(*KEY, "episode").agg(F.collect_list(F.struct("rule_order", "key")).alias("prior"))
         )
         inside = inside.join(prior, [*KEY, "episode"], "left")
         known = F.coalesce(
-            F.exists("prior", lambda p: F.array_contains(F.col("asked_by"), p["rule_id"]) & (p["key"] >= _arrival())),
+            F.exists("prior", lambda p: _takes(F.col("asked_mask"), p["rule_order"]) & (p["key"] >= _arrival())),
             F.lit(False),
         ) | (F.col("is_trigger") & (F.col("event_id") != F.col("p_event_id")))
         inside = inside.where(~known)
@@ -451,7 +471,7 @@ def _last_growing(
             "siblings",
             lambda s: F.when(
                 (s["alert_id"] == F.col("alert_id"))
-                | (F.array_contains(F.col("asked_by"), s["rule_id"])),
+                | _takes(F.col("asked_mask"), s["rule_order"]),
                 s["rule_order"],
             ),
         ),
@@ -476,11 +496,9 @@ def correlate(
     are the union over all members.
     """
     rules = all_rules(detection) if rules is None else list(rules)
-    scored = score_participations(participations(alerts, rules), rules, detection)
-    scored = stage(
-        scored.withColumn("asked_by", _asked_by(rules)).withColumn("is_trigger", F.col("partners") > 0),
-        "scored",
-    )
+    parts = stage(participations(alerts, rules, detection), "participations")
+    scored = score_participations(parts, detection).withColumn("is_trigger", F.col("partners") > 0)
+    scored = stage(scored, "scored")
     return episodes(scored, rules, detection, compat)
 
 
@@ -538,14 +556,14 @@ def episodes(
     first = F.get("siblings", 0)
     lead = opening.select(
         *KEY, "episode", "bin", "window_us", F.col("ts_us").alias("p_ts_us"), F.col("event_id").alias("p_event_id"),
-        first["rule_id"].alias("p_rule_id"), first["alert_id"].alias("p_alert_id"),
+        first["rule_order"].alias("p_rule_order"), first["alert_id"].alias("p_alert_id"),
     )
     founding = (
         scored.drop("window_us").join(_around(lead), [*KEY, "bin"])
         .where(
             (F.col("ts_us") >= F.col("p_ts_us") - F.col("window_us"))
             & (_arrival() <= _arrival("p_"))
-            & ((F.col("alert_id") == F.col("p_alert_id")) | F.expr("array_contains(asked_by, p_rule_id)"))
+            & ((F.col("alert_id") == F.col("p_alert_id")) | _takes(F.col("asked_mask"), F.col("p_rule_order")))
         )
         .groupBy(*KEY, "episode")
         .agg(F.min("timestamp").alias("first_seen"), F.min("alert_id").alias("founding_alert_id"))
@@ -570,24 +588,24 @@ def episodes(
 
     # 5. members: an alert belongs to the episode of a trigger that takes it
     stats = (
-        triggers.groupBy(*KEY, "bin", "rule_id")
+        triggers.groupBy(*KEY, "bin", "rule_order")
         .agg(F.max(_arrival()).alias("last_key"), F.min("ts_us").alias("first_us"))
         .join(bins, [*KEY, "bin"])
         .withColumn("ahead", F.explode(F.array(F.lit(0), F.lit(1))))
         .withColumn("bin", F.col("bin") - F.col("ahead"))
         .groupBy(*KEY, "bin")
-        .agg(F.collect_list(F.struct("ahead", "rule_id", "last_key", "first_us", "episode")).alias("stats"))
+        .agg(F.collect_list(F.struct("ahead", "rule_order", "last_key", "first_us", "episode")).alias("stats"))
     )
     takes = F.filter(
         "stats",
         lambda s: (
-            F.array_contains(F.col("asked_by"), s["rule_id"])
+            _takes(F.col("asked_mask"), s["rule_order"])
             & F.when(
                 s["ahead"] == 0,
-                F.when(s["rule_id"] == F.col("rule_id"), s["last_key"] > _arrival()).otherwise(s["last_key"] >= _arrival()),
+                F.when(s["rule_order"] == F.col("rule_order"), s["last_key"] > _arrival()).otherwise(s["last_key"] >= _arrival()),
             ).otherwise(s["first_us"] <= F.col("ts_us") + F.col("window_us"))
         )
-        | (F.col("is_trigger") & (s["ahead"] == 0) & (s["rule_id"] == F.col("rule_id"))),
+        | (F.col("is_trigger") & (s["ahead"] == 0) & (s["rule_order"] == F.col("rule_order"))),
     )
     # a correlation's key needs its founding alert, so the small episode table joins first
     names = opening.join(founding, [*KEY, "episode"]).select(
@@ -626,10 +644,12 @@ def episodes(
         )
     )
     if not compat:
-        technique = _lookup({r.rule_id: list(r.mitre) for r in detection})
+        techniques = F.array(*[
+            F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(m).alias("m")) for r in detection for m in r.mitre
+        ])
         union = (
             members.select("correlation_id", "rule_id").distinct()
-            .select("correlation_id", F.explode(technique[F.col("rule_id")]).alias("m"))
+            .select("correlation_id", F.explode(F.filter(techniques, lambda t: t["rule_id"] == F.col("rule_id"))["m"]).alias("m"))
             .groupBy("correlation_id").agg(F.array_sort(F.collect_set("m")).alias("all_mitre"))
         )
         correlations = correlations.join(union, "correlation_id", "left").withColumn(

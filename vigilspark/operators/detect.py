@@ -38,20 +38,11 @@ class DetectionRule:
     def matches(self) -> Column:
         return F.coalesce(self.predicate(), F.lit(False))
 
-    def hit(self, position: int) -> Column:
+    def evidence_map(self) -> Column:
         pairs: list[Column] = []
         for key, value in self.evidence.items():
             pairs += [F.lit(key), value().cast("string")]
-        severity = F.col("severity") if self.severity is None else F.lit(self.severity)
-        return F.struct(
-            F.lit(self.rule_id).alias("rule_id"),
-            F.lit(self.name).alias("rule_name"),
-            F.lit(position).alias("rule_order"),
-            severity.cast("int").alias("severity"),
-            F.lit(self.description).alias("description"),
-            (F.array(*[F.lit(m) for m in self.mitre]) if self.mitre else F.array().cast("array<string>")).alias("mitre_techniques"),
-            (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("evidence"),
-        )
+        return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
 
 
 def meta(key: str) -> Column:
@@ -212,18 +203,37 @@ BUILTIN_RULES: tuple[DetectionRule, ...] = (
 
 
 def detect(events: DataFrame, rules: Sequence[DetectionRule] = BUILTIN_RULES) -> DataFrame:
-    """All rule hits of all events, in registry order; the event columns are kept."""
-    wanted = F.lit(False)
-    for rule in rules:
-        wanted = wanted | rule.matches()
-    hits = F.array_compact(F.array(*[F.when(r.matches(), r.hit(i)) for i, r in enumerate(rules)]))
-    return (
-        events.where(wanted)
-        .withColumn("hit", F.explode(hits))
-        .select(
-            *[F.col(c).alias("event_severity") if c == "severity" else F.col(c) for c in events.columns],
-            "hit.*",
-        )
+    """All rule hits of all events, in registry order; the event columns are kept.
+
+    Only rule numbers are exploded. What a hit says is looked up afterwards, so columns
+    nobody asks for (evidence maps above all) are never built.
+    """
+    numbers = F.array_compact(F.array(*[F.when(r.matches(), F.lit(i)) for i, r in enumerate(rules)]))
+    number = F.col("rule_order")
+
+    def fixed(values: list[str]) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), number)
+
+    def chosen(values: list[Column]) -> Column:
+        out = F.when(number == 0, values[0])
+        for i, value in enumerate(values[1:], 1):
+            out = out.when(number == i, value)
+        return out
+
+    severity = chosen([F.col("severity") if r.severity is None else F.lit(r.severity) for r in rules])
+    techniques = F.get(
+        F.array(*[F.array(*[F.lit(m) for m in r.mitre]) if r.mitre else F.array().cast("array<string>") for r in rules]),
+        number,
+    )
+    return events.withColumn("rule_order", F.explode(numbers)).select(
+        *[F.col(c).alias("event_severity") if c == "severity" else F.col(c) for c in events.columns],
+        fixed([r.rule_id for r in rules]).alias("rule_id"),
+        fixed([r.name for r in rules]).alias("rule_name"),
+        "rule_order",
+        severity.cast("int").alias("severity"),
+        fixed([r.description for r in rules]).alias("description"),
+        techniques.alias("mitre_techniques"),
+        chosen([r.evidence_map() for r in rules]).alias("evidence"),
     )
 
 
