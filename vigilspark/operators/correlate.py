@@ -228,7 +228,8 @@ def _classes(detection: Sequence[DetectionRule]) -> list[tuple[str, int]]:
 
 
 def participations(
-    alerts: DataFrame, rules: Sequence[CorrelationRule], detection: Sequence[DetectionRule] = BUILTIN_RULES
+    alerts: DataFrame, rules: Sequence[CorrelationRule], detection: Sequence[DetectionRule] = BUILTIN_RULES,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per alert and correlation type it can take part in, as trigger or partner.
 
@@ -268,7 +269,7 @@ def participations(
             kind.alias("class_no"),
             F.col("evidence").getItem("dataset_id").alias("dataset_id"),
             F.col("evidence").getItem("dataset_name").alias("dataset_name"),
-            F.unix_micros("timestamp").alias("ts_us"),
+            F.unix_micros("timestamp").alias("ts_us"), *keep,
         )
         .withColumn("bin", _floor_div(F.col("ts_us"), F.col("window_us")))
     )
@@ -417,11 +418,13 @@ def correlation_matches(
 
 class Correlations(NamedTuple):
     """``correlations``: one row per episode. ``members``: one row per alert of an episode.
-    ``outcomes``: one row per (event, correlation) with what the event did to it."""
+    ``outcomes``: one row per (event, correlation) with what the event did to it.
+    ``triggers``: the triggering alerts of each."""
 
     correlations: DataFrame
     members: DataFrame
     outcomes: DataFrame
+    triggers: DataFrame | None = None
 
 
 def _around(points: DataFrame) -> DataFrame:
@@ -674,4 +677,99 @@ def episodes(
             F.when(F.col("event_id") == F.col("founding_event_id"), "created").otherwise("updated").alias("outcome"),
         )
     )
-    return Correlations(correlations, members, touched.unionByName(also))
+    triggering = numbered.join(names.select(*KEY, "episode", "correlation_id"), [*KEY, "episode"]).select(
+        "correlation_id", "alert_id"
+    )
+    return Correlations(correlations, members, touched.unionByName(also), triggering)
+
+
+def correlate_increment(
+    new: DataFrame, history: DataFrame, stored: DataFrame, stored_members: DataFrame,
+    rules: Sequence[CorrelationRule] | None = None, detection: Sequence[DetectionRule] = BUILTIN_RULES,
+) -> Correlations | None:
+    """What later alerts do to stored correlations; the same result as one batch over all.
+
+    Only alerts from two windows before the first new one are read again: an episode that
+    goes on has a trigger within one window of the new ones, and that trigger needs its own
+    window. ``correlations`` holds the new and the changed rows, ``members`` the added ones.
+    """
+    rules = all_rules(detection) if rules is None else list(rules)
+    start = new.agg(F.min("timestamp").alias("t")).first()["t"]
+    if start is None:
+        return None
+    widest = max(r.window_seconds for r in rules)
+    since = F.lit(start) - F.make_dt_interval(secs=F.lit(2 * widest))
+    region = new.withColumn("is_new", F.lit(True)).unionByName(
+        history.where(F.col("timestamp") >= since).withColumn("is_new", F.lit(False)).select(*new.columns, "is_new")
+    )
+    parts = stage(participations(region, rules, detection, keep=["is_new"]), "increment")
+    first_us = F.unix_micros(F.lit(start))
+    scored = score_participations(parts, detection).withColumn(
+        "is_trigger", (F.col("partners") > 0) & (F.col("ts_us") >= first_us - F.col("window_us"))
+    )
+    found = episodes(stage(scored, "increment-scored"), rules, detection)
+    fresh = new.select("alert_id").withColumn("is_new", F.lit(True))
+    members = found.members.join(fresh, "alert_id", "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
+    changed = members.where("is_new").select("correlation_id").distinct()
+    known = stored_members.where(F.col("timestamp") >= since).select(
+        "correlation_type", "alert_id", F.col("correlation_id").alias("stored_id")
+    )
+    # the region's correlation -> the stored one it continues
+    continues = (
+        members.join(changed, "correlation_id", "left_semi").join(known, ["correlation_type", "alert_id"])
+        .groupBy("correlation_id").agg(F.min("stored_id").alias("stored_id"))
+    )
+    names = stage(changed.join(continues, "correlation_id", "left"), "increment-names")
+    final = F.coalesce("stored_id", "correlation_id")
+    added = (
+        members.join(names, "correlation_id").withColumn("correlation_id", final)
+        .join(stored_members.select("correlation_id", "alert_id"), ["correlation_id", "alert_id"], "left_anti")
+        .select(*found.members.columns)
+    )
+    added = stage(added, "increment-members")
+    seen = stored_members.where(F.col("timestamp") >= since).select("correlation_id", "event_id").distinct()
+    grown = (
+        added.groupBy("correlation_id").agg(F.count("*").alias("more_alerts"))
+        .join(
+            added.select("correlation_id", "event_id").distinct().join(seen, ["correlation_id", "event_id"], "left_anti")
+            .groupBy("correlation_id").agg(F.count("*").alias("more_events")),
+            "correlation_id", "left",
+        )
+    )
+    new_triggers = (
+        found.triggers.join(fresh, "alert_id", "left_semi").join(names, "correlation_id").withColumn("correlation_id", final)
+        .groupBy("correlation_id").agg(F.count("*").alias("more_triggers"))
+    )
+    old = stored.select(*[F.col(c).alias(f"old_{c}") for c in stored.columns])
+    rows = (
+        found.correlations.join(names, "correlation_id")
+        .withColumn("correlation_id", final)
+        .join(old, F.col("correlation_id") == F.col("old_correlation_id"), "left")
+        .join(grown, "correlation_id", "left").join(new_triggers, "correlation_id", "left")
+    )
+    stays = ["title", "first_seen", "mitre_techniques", "founding_alert_id", "founding_event_id", "status", "rule_id"]
+
+    def column(c: str) -> Column:
+        if c in stays:
+            return F.when(F.col("stored_id").isNotNull(), F.col(f"old_{c}")).otherwise(F.col(c)).alias(c)
+        if c == "severity":
+            return F.greatest("severity", "old_severity").alias(c)
+        more = {"alert_count": "more_alerts", "event_count": "more_events", "trigger_count": "more_triggers"}.get(c)
+        if more:
+            return F.when(
+                F.col("stored_id").isNotNull(), F.col(f"old_{c}") + F.coalesce(F.col(more), F.lit(0))
+            ).otherwise(F.col(c)).alias(c)
+        return F.col(c)
+
+    changed_rows = rows.select(*[column(c) for c in found.correlations.columns])
+    touched = (
+        found.outcomes.join(names, "correlation_id")
+        .join(new.select("event_id").distinct(), "event_id", "left_semi")
+        .select(
+            "event_id", final.alias("correlation_id"),
+            F.when(F.col("stored_id").isNotNull(), "updated").otherwise(F.col("outcome")).alias("outcome"),
+        )
+        .distinct()
+    )
+    return Correlations(changed_rows, added, touched)
+

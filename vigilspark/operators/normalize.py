@@ -7,7 +7,6 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import fixed_values as fv
 from ..functions import present, redact, redact_map
@@ -120,7 +119,7 @@ def dedup_events(new: DataFrame, arrival: Sequence[str], stored: DataFrame | Non
 
 # --- N06-N10: SIEM agent alerts ---------------------------------------------------------
 
-WAZUH_SCHEMA = T.StructType.fromDDL(
+WAZUH_SCHEMA = (
     "id string, _id string, timestamp string, "
     "rule struct<id:string, level:string, description:string, groups:array<string>, mitre:struct<id:string>>, "
     "agent struct<id:string, name:string, hostname:string>, manager struct<name:string>, host string, "

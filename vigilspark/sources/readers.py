@@ -6,18 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import fixed_values as fv
 from ..operators.normalize import WAZUH_SCHEMA
 
-ACTIVITY_SCHEMA = T.StructType.fromDDL(
+ACTIVITY_SCHEMA = (
     "activity_id string, timestamp timestamp, dataset_id string, dataset_name string, operation string, "
     "actor string, actor_host string, source_ip string, destination_ip string, records_accessed bigint, "
     "records_modified bigint, sensitive_columns array<string>, export_size_bytes bigint, "
     "export_destination string, context map<string,string>"
 )
-FEED_SCHEMA = T.StructType.fromDDL(
+FEED_SCHEMA = (
     "ioc_type string, ioc_value string, classification string, threat_category string"
 )
 
