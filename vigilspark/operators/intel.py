@@ -19,10 +19,13 @@ def ipv4(value: Column) -> Column:
     return F.when(text.rlike(_IPV4), text)
 
 
-def ipv6(value: Column) -> Column:
-    """Canonical text of an IPv6 address, else null. Plain expressions, no UDF."""
-    text = strip(value)
-    scope = F.when(text.contains("%"), F.concat(F.lit("%"), F.substring_index(text, "%", -1))).otherwise(F.lit(""))
+def with_ipv6(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Adds the canonical text of an IPv6 address in column ``value``, else null.
+
+    Plain expressions in a few steps; rows without a colon stop at the first one.
+    """
+    text = F.col("_v6")
+    steps = df.withColumn("_v6", F.when(F.contains(F.col(value), F.lit(":")), strip(F.col(value))))
     address = F.lower(F.substring_index(text, "%", 1))
     tail = F.substring_index(address, ":", -1)
     octets = F.transform(F.split(tail, r"\."), lambda o: o.try_cast("int"))
@@ -30,56 +33,50 @@ def ipv6(value: Column) -> Column:
     def pair(a: int, b: int) -> Column:
         return F.lower(F.hex(F.get(octets, a) * 256 + F.get(octets, b)))
 
-    hexed = F.when(
-        tail.rlike(_IPV4),
-        F.concat(
-            F.substring(address, F.lit(1), F.char_length(address) - F.char_length(tail)),
-            pair(0, 1), F.lit(":"), pair(2, 3),
-        ),
-    ).otherwise(address)
-    gap = hexed.contains("::")
-    empty = F.array().cast("array<string>")
+    steps = steps.withColumn(
+        "_hex",
+        F.when(
+            tail.rlike(_IPV4),
+            F.concat(
+                F.substring(address, F.lit(1), F.char_length(address) - F.char_length(tail)), pair(0, 1), F.lit(":"), pair(2, 3)
+            ),
+        ).otherwise(address),
+    )
+    hexed, empty = F.col("_hex"), F.array().cast("array<string>")
 
     def groups(part: Column) -> Column:
         return F.when(part == "", empty).otherwise(F.split(part, ":"))
 
     left, right = groups(F.substring_index(hexed, "::", 1)), groups(F.substring_index(hexed, "::", -1))
     missing = 8 - F.size(left) - F.size(right)
-    full = F.when(gap, F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)).otherwise(
-        F.split(hexed, ":")
-    )
-    valid = (
-        F.forall(full, lambda g: g.rlike(r"^[0-9a-f]{1,4}\z"))
-        & (F.size(full) == 8)
-        & (~gap | ((missing >= 1) & (F.char_length(hexed) - F.char_length(F.replace(hexed, F.lit("::"), F.lit(""))) == 2)))
-        & (~text.contains("%") | ((F.char_length(scope) > 1) & (F.size(F.split(text, "%")) == 2)))
+    once = F.char_length(hexed) - F.char_length(F.replace(hexed, F.lit("::"), F.lit(""))) == 2
+    filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+    scope_ok = ~text.contains("%") | text.rlike(r"^[^%]*%[^%]+\z")
+    steps = steps.withColumn(
+        "_groups", F.when(scope_ok & ~hexed.contains("::"), F.split(hexed, ":")).when(scope_ok & once & (missing >= 1), filled)
     )
-    short = F.array_join(F.transform(full, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
-    packed = short
-    for run in range(2, 9):
-        zeros = "0" + "(?::0)" * (run - 1) + r"(?::|\z)"
-        packed = (
-            F.when(short.rlike("^" + zeros), F.regexp_replace(short, "^" + zeros, "::"))
-            .when(short.rlike(":" + zeros), F.regexp_replace(short, rf"^((?:[0-9a-f]+:)+?){zeros}", "$1:"))
-            .otherwise(packed)
-        )
+    valid = (F.size("_groups") == 8) & F.forall("_groups", lambda g: g.rlike(r"^[0-9a-f]{1,4}\z"))
+    short = F.array_join(F.transform("_groups", lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
+    steps = steps.withColumn("_short", F.when(valid, F.concat(F.lit(":"), short, F.lit(":"))))
+    # the longest run of two or more zero groups, the first of equal ones
+    runs = F.expr("regexp_extract_all(_short, '(?::0){2,}(?=:)', 0)")
+    steps = steps.withColumn("_run", F.array_max(F.transform(runs, lambda r: F.struct(F.char_length(r).alias("n"), r.alias("r"))))["r"])
+    at = F.expr("locate(concat(_run, ':'), _short)")
+    line, n = F.col("_short"), F.char_length("_short")
+    head = F.ltrim(F.substring(line, F.lit(1), at - 1), F.lit(":"))
+    rest = F.rtrim(F.ltrim(F.substring(line, at + F.char_length("_run"), n), F.lit(":")), F.lit(":"))
+    packed = F.when(F.col("_run").isNotNull(), F.concat(head, F.lit("::"), rest)).otherwise(F.substring(line, F.lit(2), n - 2))
+
+    def octet_pair(group: Column) -> Column:
+        number = F.conv(group, 16, 10).cast("int")
+        return F.concat_ws(".", F.shiftright(number, 8).cast("string"), F.pmod(number, F.lit(256)).cast("string"))
+
     mapped = F.when(
-        short.rlike("^0:0:0:0:0:ffff:"),
-        F.concat(
-            F.lit("::ffff:"),
-            F.array_join(
-                F.flatten(F.transform(
-                    F.slice(full, 7, 2),
-                    lambda g: F.array(
-                        F.shiftright(F.conv(g, 16, 10).cast("int"), 8).cast("string"),
-                        F.pmod(F.conv(g, 16, 10).cast("int"), F.lit(256)).cast("string"),
-                    ),
-                )),
-                ".",
-            ),
-        ),
+        line.startswith(":0:0:0:0:0:ffff:"),
+        F.concat(F.lit("::ffff:"), octet_pair(F.get("_groups", 6)), F.lit("."), octet_pair(F.get("_groups", 7))),
     )
-    return F.when(text.contains(":") & valid, F.concat(F.coalesce(mapped, packed), scope))
+    scope = F.when(text.contains("%"), F.concat(F.lit("%"), F.substring_index(text, "%", -1))).otherwise("")
+    return steps.withColumn(out, F.concat(F.coalesce(mapped, packed), scope)).drop("_v6", "_hex", "_groups", "_short", "_run")
 
 
 def domain(value: Column) -> Column:
@@ -147,7 +144,9 @@ def extract_iocs(events: DataFrame, *keep: str) -> DataFrame:
 def classify_iocs(found: DataFrame) -> DataFrame:
     """Type and normal form of candidate rows (``key``, ``value``); invalid ones go."""
     key, value = F.col("key"), F.col("value")
-    v4, v6 = ipv4(value), ipv6(value)
+    columns = found.columns
+    found = with_ipv6(found.withColumn("_address", F.when(key.isin(*fv.IP_KEYS), value)), "_address", "_ipv6")
+    v4, v6 = ipv4(value), F.col("_ipv6")
     kind = (
         F.when(key.isin(*fv.IP_KEYS), F.when(v4.isNotNull(), "ipv4").when(v6.isNotNull(), "ipv6"))
         .when(key.isin(*fv.DOMAIN_KEYS), F.when(domain(value).isNotNull(), "domain"))
@@ -160,7 +159,8 @@ def classify_iocs(found: DataFrame) -> DataFrame:
         .when(key.isin(*fv.URL_KEYS), url(value))
         .otherwise(F.upper(strip(value)))
     )
-    return found.withColumn("ioc_type", kind).where("ioc_type is not null").withColumn("normalized_value", normal)
+    typed = found.withColumn("ioc_type", kind).where("ioc_type is not null").withColumn("normalized_value", normal)
+    return typed.select(*columns, "ioc_type", "normalized_value")
 
 
 def dedup_iocs(iocs: DataFrame, *scope: str) -> DataFrame:
@@ -220,13 +220,14 @@ def match_urls(urls: DataFrame, feed: DataFrame) -> DataFrame:
     known = feed.where("ioc_type = 'domain'").withColumn("gram", F.substring("ioc_value", 1, _GRAM))
     short = [r[0] for r in known.select(F.char_length("gram").alias("n")).distinct().where(f"n < {_GRAM}").collect()]
     text = F.col("normalized_value")
-    grams = F.flatten(F.array(*[
-        F.when(
-            F.char_length(text) >= n,
-            F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i, n=n: F.substring(text, i, F.lit(n))),
+
+    def pieces(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.char_length(text) - n + 1)
+        return F.when(
+            F.char_length(text) >= n, F.transform(places, lambda i: F.substring(text, i, F.lit(n)))
         ).otherwise(F.array().cast("array<string>"))
-        for n in sorted({*short, _GRAM})
-    ]))
+
+    grams = F.flatten(F.array(*[pieces(n) for n in sorted({*short, _GRAM})]))
     return (
         urls.select("normalized_value").distinct()
         .withColumn("gram", F.explode(F.array_distinct(grams)))

@@ -89,9 +89,11 @@ def read_parquet_profile(spark: SparkSession, path: str) -> DataFrame:
 
 def validate_files(spark: SparkSession, path: str, max_bytes: int = fv.UPLOAD_MAX_BYTES) -> DataFrame:
     """One verdict row per file below ``path``: extension, size, content versus extension."""
-    return file_verdicts(
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), max_bytes
-    )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    # the size filter is pushed into the source: files beyond the limit are never opened
+    small = files.where(F.col("length") <= max_bytes).select("path", "length", "content")
+    large = files.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return file_verdicts(small.unionByName(large), max_bytes)
 
 
 def file_verdicts(files: DataFrame, max_bytes: int = fv.UPLOAD_MAX_BYTES) -> DataFrame:
