@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed_values as fv
 from ..functions import short_id
@@ -19,64 +23,28 @@ def ipv4(value: Column) -> Column:
     return F.when(text.rlike(_IPV4), text)
 
 
+@F.pandas_udf(T.StringType())
+def _canonical_ipv6(values: pd.Series) -> pd.Series:
+    """Canonical IPv6 text, one Arrow batch at a time; null in, null out."""
+
+    def canonical(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            return str(ipaddress.IPv6Address(text))
+        except ValueError:
+            return None
+
+    return values.map(canonical, na_action="ignore").astype(object)
+
+
 def with_ipv6(df: DataFrame, value: str, out: str) -> DataFrame:
     """Adds the canonical text of an IPv6 address in column ``value``, else null.
 
-    Plain expressions in a few steps; rows without a colon stop at the first one.
+    Only values with a colon reach Python; the others go over as nulls.
     """
-    text = F.col("_v6")
-    steps = df.withColumn("_v6", F.when(F.contains(F.col(value), F.lit(":")), strip(F.col(value))))
-    address = F.lower(F.substring_index(text, "%", 1))
-    tail = F.substring_index(address, ":", -1)
-    octets = F.transform(F.split(tail, r"\."), lambda o: o.try_cast("int"))
-
-    def pair(a: int, b: int) -> Column:
-        return F.lower(F.hex(F.get(octets, a) * 256 + F.get(octets, b)))
-
-    steps = steps.withColumn(
-        "_hex",
-        F.when(
-            tail.rlike(_IPV4),
-            F.concat(
-                F.substring(address, F.lit(1), F.char_length(address) - F.char_length(tail)), pair(0, 1), F.lit(":"), pair(2, 3)
-            ),
-        ).otherwise(address),
-    )
-    hexed, empty = F.col("_hex"), F.array().cast("array<string>")
-
-    def groups(part: Column) -> Column:
-        return F.when(part == "", empty).otherwise(F.split(part, ":"))
-
-    left, right = groups(F.substring_index(hexed, "::", 1)), groups(F.substring_index(hexed, "::", -1))
-    missing = 8 - F.size(left) - F.size(right)
-    once = F.char_length(hexed) - F.char_length(F.replace(hexed, F.lit("::"), F.lit(""))) == 2
-    filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
-    scope_ok = ~text.contains("%") | text.rlike(r"^[^%]*%[^%]+\z")
-    steps = steps.withColumn(
-        "_groups", F.when(scope_ok & ~hexed.contains("::"), F.split(hexed, ":")).when(scope_ok & once & (missing >= 1), filled)
-    )
-    valid = (F.size("_groups") == 8) & F.forall("_groups", lambda g: g.rlike(r"^[0-9a-f]{1,4}\z"))
-    short = F.array_join(F.transform("_groups", lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
-    steps = steps.withColumn("_short", F.when(valid, F.concat(F.lit(":"), short, F.lit(":"))))
-    # the longest run of two or more zero groups, the first of equal ones
-    runs = F.expr("regexp_extract_all(_short, '(?::0){2,}(?=:)', 0)")
-    steps = steps.withColumn("_run", F.array_max(F.transform(runs, lambda r: F.struct(F.char_length(r).alias("n"), r.alias("r"))))["r"])
-    at = F.expr("locate(concat(_run, ':'), _short)")
-    line, n = F.col("_short"), F.char_length("_short")
-    head = F.ltrim(F.substring(line, F.lit(1), at - 1), F.lit(":"))
-    rest = F.rtrim(F.ltrim(F.substring(line, at + F.char_length("_run"), n), F.lit(":")), F.lit(":"))
-    packed = F.when(F.col("_run").isNotNull(), F.concat(head, F.lit("::"), rest)).otherwise(F.substring(line, F.lit(2), n - 2))
-
-    def octet_pair(group: Column) -> Column:
-        number = F.conv(group, 16, 10).cast("int")
-        return F.concat_ws(".", F.shiftright(number, 8).cast("string"), F.pmod(number, F.lit(256)).cast("string"))
-
-    mapped = F.when(
-        line.startswith(":0:0:0:0:0:ffff:"),
-        F.concat(F.lit("::ffff:"), octet_pair(F.get("_groups", 6)), F.lit("."), octet_pair(F.get("_groups", 7))),
-    )
-    scope = F.when(text.contains("%"), F.concat(F.lit("%"), F.substring_index(text, "%", -1))).otherwise("")
-    return steps.withColumn(out, F.concat(F.coalesce(mapped, packed), scope)).drop("_v6", "_hex", "_groups", "_short", "_run")
+    candidate = F.when(F.contains(F.col(value), F.lit(":")), strip(F.col(value)))
+    return df.withColumn(out, _canonical_ipv6(candidate))
 
 
 def domain(value: Column) -> Column:
