@@ -306,8 +306,8 @@ def _(ws):
 NOTE_TEXT = _redact_sql("text", fv.CASE_KEYWORDS, False, 5000)
 
 
-@query("l06_case_notes", f"""WITH n AS (SELECT 'case-'||(conv_id%97) AS case_id, 'note-'||conv_id||'-'||turn AS note_id, conv_id*60+turn AS at, {NOTE_TEXT} AS content FROM conversations),
- k AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY at, note_id) AS position FROM n WHERE content<>'') SELECT case_id, note_id, position, md5(content) AS content FROM k WHERE position<=100""")
+@query("l06_case_notes", f"""WITH n AS (SELECT 'case-'||(conv_id%97) AS case_id, 'note-'||conv_id||'-'||turn AS note_id, conv_id*60+turn AS tick, {NOTE_TEXT} AS content FROM conversations),
+ k AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY tick, note_id) AS position FROM n WHERE content<>'') SELECT case_id, note_id, position, md5(content) AS content FROM k WHERE position<=100""")
 def _(ws):
     return L.case_notes(ws.case_notes()).select("case_id", "note_id", "position", F.md5("content").alias("content"))
 
@@ -414,7 +414,7 @@ def _(ws):
 
 @query("k11_pipeline_result", BASE_ALL + """, per AS (SELECT oc.event_id, count(*) FILTER (outcome='created') AS c, count(*) FILTER (outcome='updated') AS u, sum(coalesce(total,0))::BIGINT AS i, arg_max(score, rl.iid) AS s
   FROM oc JOIN rl ON rl.cid=oc.cid LEFT JOIN ts ON ts.iid=rl.iid GROUP BY 1)
-SELECT ev.event_id, (SELECT count(*) FROM al WHERE al.event_id=ev.event_id) AS detection_matches, coalesce(c,0) AS correlations_created, coalesce(u,0) AS correlations_updated, coalesce(i,0) AS iocs_extracted, coalesce(s,-1) AS last_risk_score
+SELECT ev.event_id, (SELECT count(*) FROM al WHERE al.event_id=ev.event_id) AS detection_matches, coalesce(per.c,0) AS correlations_created, coalesce(per.u,0) AS correlations_updated, coalesce(per.i,0) AS iocs_extracted, coalesce(per.s,-1) AS last_risk_score
 FROM ev LEFT JOIN per ON per.event_id=ev.event_id""")
 def _(ws):
     ids = ws.incidents.select(F.get("correlation_ids", 0).alias("correlation_id"), "incident_id")
