@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,11 +29,21 @@ def build_session(app_name: str = "vigilspark", master: str | None = None, **con
 
 
 def stage_root(spark: SparkSession) -> str:
-    """Shared folder for stage tables: ``spark.checkpoint.dir``; a local one only if unset."""
+    """Shared folder for stage tables: ``spark.checkpoint.dir``.
+
+    Only a session whose executors are threads of this process may do without it; it gets a
+    temporary folder that is deleted when the process ends. Any other master is refused, as its
+    executors would each write to a disk of their own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="vigilspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    if root:
+        return root
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"master {master}: set spark.checkpoint.dir to a folder that all executors share")
+    root = tempfile.mkdtemp(prefix="vigilspark-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
