@@ -9,10 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import encode_and_decode
 from .common import read
+from .decontaminate import overlaps
+from .records import read_records, record_digests, records_folder, write_records
+from .secrets import find_secrets
+from .simhash import simhash_components
 from .token_counts import token_counts
+from .winnowing import compare_edited
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
+WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
+#: Id that ends each document in the record files.
+END_ID = 2
+
+
+def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(read(spark, sf_dir, "documents"))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,13 +32,36 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(read(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op6_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = records_folder(spark)
+    write_records(read(spark, sf_dir, "documents"), folder, public_tokenizers.path(WORD_BPE), END_ID)
+    return record_digests(read_records(spark, folder))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(read(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_winnowing": op1_winnowing,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_simhash": op4_simhash,
+        "op5_decontamination": op5_decontamination,
+        "op6_record_files": op6_record_files,
+        "op9_secrets": op9_secrets,
         "op10_token_counts": op10_token_counts,
     }
 
