@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .byte_bpe import encode_and_decode
-from .common import read
+from .common import read, remainder
 from .decontaminate import overlaps
+from .language import identify, language_model
+from .quality import CUT, quality_model, score_quality
 from .records import read_records, record_digests, records_folder, write_records
 from .secrets import find_secrets
 from .simhash import simhash_components
 from .token_counts import token_counts
+from .toxicity import score_toxicity, toxicity_model
 from .winnowing import compare_edited
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -21,12 +25,20 @@ WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 #: Id that ends each document in the record files.
 END_ID = 2
+#: Toxicity from which a document counts as toxic.
+TOXIC = 0.3
 
 
 def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(read(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = identify(docs, language_model(docs, hold_of=4, held=2))
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return encode_and_decode(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
@@ -46,6 +58,21 @@ def op6_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_digests(read_records(spark, folder))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = score_quality(docs, quality_model(docs, read(spark, sf_dir, "labels"), hold_of=5, held=0))
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, toxicity_model(docs, read(spark, sf_dir, "labels"), hold_of=4, held=2), threshold=TOXIC)
+    return scored.select(
+        "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+        F.size("offending").cast("bigint").alias("n_offending"),
+    )
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read(spark, sf_dir, "documents"))
 
@@ -57,10 +84,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_winnowing": op1_winnowing,
+        "op2_language": op2_language,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_simhash": op4_simhash,
         "op5_decontamination": op5_decontamination,
         "op6_record_files": op6_record_files,
+        "op7_quality": op7_quality,
+        "op8_toxicity": op8_toxicity,
         "op9_secrets": op9_secrets,
         "op10_token_counts": op10_token_counts,
     }
