@@ -47,7 +47,7 @@ def chosen(text: Column, k: int = 5, window: int = 4) -> Column:
 
         def least(v: Column) -> Column:
             first = F.slice(v, 1, F.greatest(F.size(v) - (window - 1), F.least(F.size(v), F.lit(1))))
-            return F.array_distinct(F.transform(first, lambda x, i: F.least(x, *[F.get(v, i + F.lit(j)) for j in range(1, window)])))
+            return F.array_distinct(F.transform(first, lambda x, i: x if window == 1 else F.least(x, *[F.get(v, i + F.lit(j)) for j in range(1, window)])))
 
         return let(grams, least)
 
