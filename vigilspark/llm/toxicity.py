@@ -21,12 +21,12 @@ from .common import Memo, per_document, remainder, texts_of
 from .samples import labelled_sample
 
 #: Bound of the fitting sample: labelled rows of each label, and their code points.
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 8_000_000
+SAMPLE_ROWS, SAMPLE_CHARS = 2500, 8_000_000
 BINS = 1 << 18
 #: Lengths of the word beginnings that are features beside the whole word.
 BEGINNINGS = (4, 5, 6)
 #: A feature is learned only if so many documents of the sample have it.
-LEAST_DOCS = 6
+LEAST_DOCS = 3
 #: Weights that small at the end are the penalty's noise.
 NEGLIGIBLE = 0.2
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -50,8 +50,8 @@ def sentences(text: str) -> list[str]:
     return SENTENCE.findall(text) or [""]
 
 
-def fit(sample: list[tuple[str, int]], rounds: int = 120, rate: float = 0.1, l1: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights by bin (bin 0: none) and the bias, by Adam on the noisy-or likelihood, with an L1 penalty."""
+def fit(sample: list[tuple[str, int]], rounds: int = 120, rate: float = 0.1, l1: float = 0.08) -> tuple[np.ndarray, float]:
+    """Weights by bin (bin 0: none) and the bias, by Adam on the noisy-or likelihood, with an L1 penalty. of ``l1`` over the square root of the sample's size."""
     words: dict[str, int] = {}
     of_word, word_sentence, sentence_doc = [], [], []
     for d, (text, _) in enumerate(sample):
@@ -75,10 +75,13 @@ def fit(sample: list[tuple[str, int]], rounds: int = 120, rate: float = 0.1, l1:
     balance = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
     value = np.zeros(len(used) + 1)
     value[-1] = bias
-    for penalty in (l1, 0.0):  # first choose the features, then fit the chosen ones without shrinking them
+    for penalty in (l1 / math.sqrt(len(labels)), 0.0):  # first choose the features, then fit the chosen ones without shrinking them
         mean, square = np.zeros_like(value), np.zeros_like(value)
         free = np.append(np.abs(value[:-1]) >= NEGLIGIBLE, True) if penalty == 0 else np.ones(len(value), bool)
         value *= free
+        if penalty == 0:  # only words that have a chosen feature matter from here on
+            telling = (free[bins] & (used[bins] > 0)).any(1)[of_word]
+            of_word, word_sentence = of_word[telling], word_sentence[telling]
         for k in range(1, rounds + 1):
             own = np.where(used == 0, 0.0, value[:-1])
             z = value[-1] + np.bincount(word_sentence, own[bins].sum(1)[of_word], len(sentence_doc))
