@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from tests.replay import replay
 from vigilspark.operators import correlate as C
-from vigilspark.operators.detect import BUILTIN_RULES
+from vigilspark.operators.detect import BUILTIN_RULES, DetectionRule
 
 ORDER = {r.rule_id: i for i, r in enumerate(BUILTIN_RULES)}
 FIXED = {r.rule_id: r.severity for r in BUILTIN_RULES}
@@ -133,3 +133,40 @@ def test_without_compat_techniques_are_the_union_of_members(spark):
     merged = C.correlate(frame(spark, alerts), compat=False).correlations.where("correlation_type = 'same_entity'").collect()
     assert kept[0]["mitre_techniques"] == ["T1110"]
     assert merged[0]["mitre_techniques"] == ["T1071", "T1110"]
+
+
+def other_severities(seed, stream):
+    rng = random.Random(f"severity {seed}")
+    return [{**a, "severity": rng.randint(0, 15)} for a in stream]
+
+
+def test_partners_are_told_by_rule_alone(spark):
+    """Stored alerts of a re-tuned rule have severities that the rule no longer has."""
+    streams = [other_severities(s, random_stream(f"x{s}", "")) for s in range(40)]
+    expected = [c for s in streams for c in replay(s)[0]]
+    found = C.correlate(frame(spark, [a for s in streams for a in s])).correlations.collect()
+    got = {(r["correlation_type"], r["entity_key"], r["founding_alert_id"]): (r["alert_count"], r["severity"]) for r in found}
+    assert got == {(c["type"], c["entity"], c["founder"]): (len(c["ids"]), c["severity"]) for c in expected}
+
+
+def test_more_kinds_than_are_counted_side_by_side(spark):
+    streams = [other_severities(s, random_stream(f"y{s}", "")) for s in range(25)]
+    alerts = frame(spark, [a for s in streams for a in s])
+    parts = C.participations(alerts, C.all_rules())
+    columns = ["correlation_type", "alert_id", "partners", "matched"]
+    assert rows(C.score_participations(parts, columns=3), *columns) == rows(C.score_participations(parts), *columns)
+
+
+def test_eighty_detection_rules(spark):
+    detection = [DetectionRule(f"own-{i:02d}", f"Rule {i}", "", 5, lambda: F.lit(True)) for i in range(80)]
+    ids = [r.rule_id for r in detection]
+    rule = C.CorrelationRule(
+        "corr-own", "own_sequence", 600, lambda: F.col("host"), {i: tuple(x for x in ids if x != i) for i in ids},
+        "Own {entity}", "{n} alerts", None,
+    )
+    alerts = [
+        {"alert_id": f"a{i:02d}", "event_id": f"e{i:02d}", "ts": i, "rule_id": r, "rule_order": i, "severity": i % 16,
+         "host": "h", "user": None, "source_ip": None, "dataset_id": None} for i, r in enumerate(ids)
+    ]
+    found = C.correlate(frame(spark, alerts), [rule], detection).correlations.collect()
+    assert [(r["alert_count"], r["trigger_count"], r["severity"]) for r in found] == [(80, 79, 15)]

@@ -34,6 +34,8 @@ from ..session import stage
 from .detect import BUILTIN_RULES, DetectionRule
 
 SLOTS_PER_WINDOW = 16
+#: Kinds of alerts that are counted side by side.
+KINDS_AT_ONCE = 32
 KEY = ["correlation_type", "entity_key"]
 
 
@@ -58,10 +60,6 @@ def _user_and_dataset() -> Column:
     return F.coalesce(F.concat(_user(), F.lit(":"), _dataset()), _user(), _dataset(), _host())
 
 
-def _minutes(seconds: int) -> str:
-    return str(seconds // 60)
-
-
 def _fmt(template: str, **values: Column) -> Column:
     """Fill ``{name}`` places of a template with columns."""
     parts: list[Column] = []
@@ -204,27 +202,9 @@ def _floor_div(value: Column, width: Column) -> Column:
     return ((value - F.pmod(value, width)) / width).cast("bigint")
 
 
-def _bit(position: int) -> int:
-    return 1 << position
-
-
-def _has(mask: Column, bits: int) -> Column:
-    return mask.bitwiseAND(F.lit(bits).cast("bigint")) != 0
-
-
-def _takes(asked_mask: Column, rule_order: Column) -> Column:
+def _takes(asked_by: Column, rule_order: Column) -> Column:
     """Whether a trigger of the rule at this position takes the alert as partner."""
-    return F.call_function("getbit", asked_mask, rule_order) == 1
-
-
-def _classes(detection: Sequence[DetectionRule]) -> list[tuple[str, int]]:
-    """Kinds of alerts to count: a rule, or a rule at one severity where that varies."""
-    out: list[tuple[str, int]] = []
-    for r in detection:
-        out += [(r.rule_id, s) for s in (r.severity_levels if r.severity is None else (r.severity,))]
-    if len(out) > 63 or len(detection) > 63:
-        raise ValueError("more than 63 kinds of alerts: give each correlation job fewer detection rules")
-    return out
+    return F.array_contains(asked_by, rule_order)
 
 
 def participations(
@@ -233,40 +213,45 @@ def participations(
 ) -> DataFrame:
     """One row per alert and correlation type it can take part in, as trigger or partner.
 
-    ``partner_mask`` has a bit per kind of alert this one would take as partner if it
-    triggers; ``asked_mask`` has a bit per detection rule whose trigger would take this one.
+    Rules are told apart by their position in ``detection``, never by severity. ``asks`` holds the
+    rules whose alerts this one would take as partner if it triggers; ``asked_by`` those whose
+    trigger would take this one. ``level`` is the severity where the highest one of the match is
+    wanted, else null.
     """
-    classes = _classes(detection)
     order = {r.rule_id: i for i, r in enumerate(detection)}
 
-    def by_rule(values: dict[str, int]) -> Column:
-        out = F.lit(0)
+    def by_rule(values: dict[str, list[int]]) -> Column:
+        """One branch for each different list, however many rules share it."""
+        out = F.array().cast("array<int>")
+        lists: dict[tuple[int, ...], list[str]] = {}
         for rule_id, value in values.items():
-            out = F.when(F.col("rule_id") == rule_id, F.lit(value)).otherwise(out)
-        return out.cast("bigint")
+            lists.setdefault(tuple(sorted(value)), []).append(rule_id)
+        for value, ids in lists.items():
+            if value:
+                out = F.when(F.col("rule_id").isin(*ids), F.array(*[F.lit(v) for v in value])).otherwise(out)
+        return out
 
     def option(r: CorrelationRule) -> Column:
-        partner = {t: sum(_bit(i) for i, (c, _) in enumerate(classes) if c in ps) for t, ps in r.pairs.items()}
-        asked = {m: sum(_bit(order[t]) for t, ps in r.pairs.items() if m in ps and t in order) for m in r.members}
+        asks = {t: [order[p] for p in ps if p in order] for t, ps in r.pairs.items()}
+        asked = {m: [order[t] for t, ps in r.pairs.items() if m in ps and t in order] for m in r.members}
         return F.when(
             F.col("rule_id").isin(*r.members) & r.entity().isNotNull(),
             F.struct(
                 F.lit(r.correlation_type).alias("correlation_type"),
                 r.entity().alias("entity_key"),
                 F.lit(r.window_seconds * 1_000_000).cast("bigint").alias("window_us"),
-                by_rule(partner).alias("partner_mask"),
-                by_rule(asked).alias("asked_mask"),
+                by_rule(asks).alias("asks"),
+                by_rule(asked).alias("asked_by"),
+                (F.col("severity") if r.severity is None else F.lit(None)).cast("int").alias("level"),
             ),
         )
 
-    kind = F.lit(-1)
-    for i, (rule_id, severity) in enumerate(classes):
-        kind = F.when((F.col("rule_id") == rule_id) & (F.col("severity") == severity), F.lit(i)).otherwise(kind)
+    numbers = F.create_map(*[F.lit(x) for pair in order.items() for x in pair]) if order else F.create_map().cast("map<string,int>")
     return (
         alerts.withColumn("p", F.explode(F.array_compact(F.array(*[option(r) for r in rules]))))
         .select(
             "p.*", "alert_id", "event_id", "timestamp", "rule_id", "rule_order", "severity",
-            kind.alias("class_no"),
+            F.try_element_at(numbers, F.col("rule_id")).alias("rule_no"),
             F.col("evidence").getItem("dataset_id").alias("dataset_id"),
             F.col("evidence").getItem("dataset_name").alias("dataset_name"),
             F.unix_micros("timestamp").alias("ts_us"), *keep,
@@ -275,54 +260,68 @@ def participations(
     )
 
 
-def score_participations(parts: DataFrame, detection: Sequence[DetectionRule] = BUILTIN_RULES) -> DataFrame:
+def score_participations(parts: DataFrame, columns: int = KINDS_AT_ONCE) -> DataFrame:
     """Adds to every participation what arrived before it within the window.
 
-    New columns: ``partners`` (number of partner alerts) and ``matched_mask`` (kinds of
-    alerts in the match, the alert itself included).
+    New columns: ``partners`` (number of partner alerts) and ``matched`` (rule and level of the
+    alerts in the match, once each, the alert's own included). A kind is a rule, at a level where
+    levels matter; kinds are numbered within their entity, so any number of rules and severities
+    does. Up to ``columns`` kinds are counted side by side, more in further rows.
     """
-    classes = _classes(detection)
-    names = [f"c{i}" for i in range(len(classes))]
-    # kind 1: the alert itself; kind 0: a probe at the lower edge of its band
-    here = F.struct(F.lit(1).alias("kind"), F.col("ts_us").alias("at_us"), F.col("class_no"))
-    edge = F.struct(
-        F.lit(0).alias("kind"), (F.col("ts_us") - F.col("window_us")).alias("at_us"), F.lit(-1).alias("class_no")
-    )
+    kinds = stage(
+        parts.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct(F.col("rule_no").alias("no"), F.col("level").alias("level")))).alias("kinds")),
+        "kinds",
+    )
+    most = kinds.agg(F.max(F.size("kinds"))).first()[0] or 1
+    names = [f"c{i}" for i in range(min(columns, most))]
+    width = len(names)
+    of = kinds.select(*[F.col(k).alias(f"of_{k}") for k in KEY], "kinds")
+    numbered = parts.join(of, [F.col(k) == F.col(f"of_{k}") for k in KEY]).drop(*[f"of_{k}" for k in KEY])
+    mine = F.struct(F.col("rule_no").alias("no"), F.col("level").alias("level"))
+    numbered = stage(numbered.withColumn("kind", (F.array_position("kinds", mine) - 1).cast("int")), "numbered")
+
+    # turn 1: the alert itself; turn 0: a probe at the lower edge of its band
+    here = F.struct(F.lit(1).alias("turn"), F.col("ts_us").alias("at_us"), F.col("kind").alias("kind"))
+    edge = F.struct(F.lit(0).alias("turn"), (F.col("ts_us") - F.col("window_us")).alias("at_us"), F.lit(-1).alias("kind"))
+    asking = F.size("asks") > 0
+    own_set = F.floor(F.col("kind") / width).cast("int")
+    sets = F.sequence(F.lit(0), F.floor((F.size("kinds") - 1) / width).cast("int"))
     ends = (
-        parts.withColumn("e", F.explode(F.when(F.col("partner_mask") != 0, F.array(here, edge)).otherwise(F.array(here))))
+        numbered.withColumn("e", F.explode(F.when(asking, F.array(here, edge)).otherwise(F.array(here))))
+        .withColumn("set", F.explode(F.when(asking, sets).otherwise(F.array(own_set))))
         .select(
-            *KEY, _floor_div(F.col("e.at_us"), _floor_div(F.col("window_us"), F.lit(SLOTS_PER_WINDOW))).alias("slot"),
-            "alert_id", "event_id", "e.kind", "e.at_us", "e.class_no",
+            *KEY, "set", _floor_div(F.col("e.at_us"), _floor_div(F.col("window_us"), F.lit(SLOTS_PER_WINDOW))).alias("slot"),
+            "alert_id", "event_id", "e.turn", "e.at_us", (F.col("e.kind") - F.col("set") * width).alias("column"),
         )
     )
-    ones = [(F.col("class_no") == i).cast("bigint") for i in range(len(classes))]
-    in_slot = Window.partitionBy(*KEY, "slot").orderBy("at_us", "kind", "event_id")
-    running = ends.select(
-        *KEY, "slot", "alert_id", "kind", *[F.sum(one).over(in_slot).alias(n) for n, one in zip(names, ones)]
-    )
-    before = Window.partitionBy(*KEY).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    ones = [(F.col("column") == i).cast("bigint") for i in range(width)]
+    in_slot = Window.partitionBy(*KEY, "set", "slot").orderBy("at_us", "turn", "event_id")
+    running = ends.select(*KEY, "set", "slot", "alert_id", "turn", *[F.sum(one).over(in_slot).alias(n) for n, one in zip(names, ones)])
+    before = Window.partitionBy(*KEY, "set").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ends.groupBy(*KEY, "slot").agg(*[F.sum(one).alias(n) for n, one in zip(names, ones)])
-        .select(*KEY, "slot", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"o{n}") for n in names])
+        ends.groupBy(*KEY, "set", "slot").agg(*[F.sum(one).alias(n) for n, one in zip(names, ones)])
+        .select(*KEY, "set", "slot", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"o{n}") for n in names])
     )
-    sign = F.when(F.col("kind") == 1, 1).otherwise(-1)
-    bands = (
-        running.join(offsets, [*KEY, "slot"])
-        .groupBy("correlation_type", "alert_id")
+    sign = F.when(F.col("turn") == 1, 1).otherwise(-1)
+    counted = (
+        running.join(offsets, [*KEY, "set", "slot"])
+        .groupBy("correlation_type", "alert_id", "set")
         .agg(*[F.sum(sign * (F.col(n) + F.col(f"o{n}"))).alias(n) for n in names])
+        .select("correlation_type", "alert_id", "set", F.array(*names).alias("counts"))
+    )
+    if most > width:
+        counted = counted.groupBy("correlation_type", "alert_id").agg(F.array_sort(F.collect_list(F.struct("set", "counts"))).alias("sets"))
+        counted = counted.select("correlation_type", "alert_id", F.col("sets")[0]["set"].alias("set"), F.flatten(F.col("sets.counts")).alias("counts"))
+    # a trigger has all sets, from the first; the counts of an alert that asks for nothing aren't used
+    found = F.transform(
+        "kinds",
+        lambda k, i: F.when(F.array_contains(F.col("asks"), k["no"]), F.get("counts", i) - (i == F.col("kind")).cast("bigint")).otherwise(0),
     )
-    found = F.array(*[
-        F.when(_has(F.col("partner_mask"), _bit(i)), F.col(n) - (F.col("class_no") == i).cast("bigint")).otherwise(0)
-        for i, n in enumerate(names)
-    ])
-    scored = parts.join(bands, ["correlation_type", "alert_id"]).select(*parts.columns, found.alias("found"))
-    mask = F.when(F.col("class_no") >= 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("class_no"))).otherwise(F.lit(0).cast("bigint"))
-    for i in range(len(classes)):
-        mask = mask.bitwiseOR(F.when(F.get("found", i) > 0, F.lit(_bit(i)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    scored = numbered.join(counted.drop("set"), ["correlation_type", "alert_id"]).withColumn("found", found)
     return scored.select(
         *parts.columns,
         F.aggregate("found", F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("partners"),
-        mask.alias("matched_mask"),
+        F.filter("kinds", lambda k, i: (i == F.col("kind")) | (F.get("found", i) > 0)).alias("matched"),
     )
 
 
@@ -346,34 +345,20 @@ def correlation_matches(
         "entity": F.col("entity_key"), "n": F.col("partners") + 1, "partners": F.col("partners"),
         "dataset_name": F.col("dataset_name"),
     }
-    classes = _classes(detection)
-    mask = F.col("matched_mask")
-
-    def bits(wanted: Callable[[str, int], bool]) -> int:
-        return sum(_bit(i) for i, c in enumerate(classes) if wanted(*c))
-
-    def named(values: dict[str, int]) -> Column:
-        picked = F.array_compact(F.array(*[F.when(_has(mask, b), F.lit(v)) for v, b in sorted(values.items()) if b]))
-        return picked
-
-    matched_rules = named({r.rule_id: bits(lambda c, _, r=r: c == r.rule_id) for r in detection})
-    rules_of = {m: {r.rule_id for r in detection if m in r.mitre} for r in detection for m in r.mitre}
+    rule_ids = F.array(*[F.lit(r.rule_id) for r in detection])
+    techniques = F.array(*[F.array(*[F.lit(m) for m in r.mitre]).cast("array<string>") for r in detection])
+    numbers = F.transform(F.filter("matched", lambda k: k["no"].isNotNull()), lambda k: k["no"])
+    matched_rules = F.array_sort(F.array_distinct(F.transform(numbers, lambda no: F.get(rule_ids, no))))
 
     def mitre(r: CorrelationRule) -> Column:
         if r.mitre is not None:
             return F.array(*[F.lit(m) for m in r.mitre])
-        everything = bits(lambda c, _: True)
-        return named({
-            m: everything if m in r.extra_mitre else bits(lambda c, _, m=m: c in rules_of[m])
-            for m in set(rules_of) | set(r.extra_mitre)
-        })
+        every = F.flatten(F.transform(numbers, lambda no: F.get(techniques, no)))
+        return F.array_sort(F.array_union(every, F.array(*[F.lit(m) for m in r.extra_mitre]).cast("array<string>")))
 
     def severity(r: CorrelationRule) -> Column:
         if r.severity is None:
-            levels = sorted({level for _, level in classes})
-            value = F.greatest(F.lit(0), F.col("severity"), *[
-                F.when(_has(mask, bits(lambda _, x, level=level: x == level)), F.lit(level)) for level in levels
-            ])
+            value = F.greatest(F.lit(0), F.col("severity"), F.array_max(F.transform("matched", lambda k: k["level"])))
         else:
             value = r.severity(F.col("partners") + 1)
         return value.cast("int")
@@ -465,7 +450,7 @@ def _last_growing(
         )
         inside = inside.join(prior, [*KEY, "episode"], "left")
         known = F.coalesce(
-            F.exists("prior", lambda p: _takes(F.col("asked_mask"), p["rule_order"]) & (p["key"] >= _arrival())),
+            F.exists("prior", lambda p: _takes(F.col("asked_by"), p["rule_order"]) & (p["key"] >= _arrival())),
             F.lit(False),
         ) | (F.col("is_trigger") & (F.col("event_id") != F.col("p_event_id")))
         inside = inside.where(~known)
@@ -474,7 +459,7 @@ def _last_growing(
             "siblings",
             lambda s: F.when(
                 (s["alert_id"] == F.col("alert_id"))
-                | _takes(F.col("asked_mask"), s["rule_order"]),
+                | _takes(F.col("asked_by"), s["rule_order"]),
                 s["rule_order"],
             ),
         ),
@@ -500,7 +485,7 @@ def correlate(
     """
     rules = all_rules(detection) if rules is None else list(rules)
     parts = stage(participations(alerts, rules, detection), "participations")
-    scored = score_participations(parts, detection).withColumn("is_trigger", F.col("partners") > 0)
+    scored = score_participations(parts).withColumn("is_trigger", F.col("partners") > 0)
     scored = stage(scored, "scored")
     return episodes(scored, rules, detection, compat)
 
@@ -566,7 +551,7 @@ def episodes(
         .where(
             (F.col("ts_us") >= F.col("p_ts_us") - F.col("window_us"))
             & (_arrival() <= _arrival("p_"))
-            & ((F.col("alert_id") == F.col("p_alert_id")) | _takes(F.col("asked_mask"), F.col("p_rule_order")))
+            & ((F.col("alert_id") == F.col("p_alert_id")) | _takes(F.col("asked_by"), F.col("p_rule_order")))
         )
         .groupBy(*KEY, "episode")
         .agg(F.min("timestamp").alias("first_seen"), F.min("alert_id").alias("founding_alert_id"))
@@ -602,7 +587,7 @@ def episodes(
     takes = F.filter(
         "stats",
         lambda s: (
-            _takes(F.col("asked_mask"), s["rule_order"])
+            _takes(F.col("asked_by"), s["rule_order"])
             & F.when(
                 s["ahead"] == 0,
                 F.when(s["rule_order"] == F.col("rule_order"), s["last_key"] > _arrival()).otherwise(s["last_key"] >= _arrival()),
@@ -704,7 +689,7 @@ def correlate_increment(
     )
     parts = stage(participations(region, rules, detection, keep=["is_new"]), "increment")
     first_us = F.unix_micros(F.lit(start))
-    scored = score_participations(parts, detection).withColumn(
+    scored = score_participations(parts).withColumn(
         "is_trigger", (F.col("partners") > 0) & (F.col("ts_us") >= first_us - F.col("window_us"))
     )
     found = episodes(stage(scored, "increment-scored"), rules, detection)
