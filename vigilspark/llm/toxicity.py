@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from .common import Memo, per_document, remainder, texts_of
 from .samples import labelled_sample
 
 #: Bound of the fitting sample: labelled rows of each label, and their code points.
-SAMPLE_ROWS, SAMPLE_CHARS = 2500, 8_000_000
+SAMPLE_ROWS, SAMPLE_CHARS = 1500, 6_000_000
 BINS = 1 << 18
 #: Lengths of the word beginnings that are features beside the whole word.
 BEGINNINGS = (4, 5, 6)
@@ -53,25 +54,28 @@ def sentences(text: str) -> list[str]:
 def fit(sample: list[tuple[str, int]], rounds: int = 120, rate: float = 0.1, l1: float = 0.08) -> tuple[np.ndarray, float]:
     """Weights by bin (bin 0: none) and the bias, by Adam on the noisy-or likelihood, with an L1 penalty. of ``l1`` over the square root of the sample's size."""
     words: dict[str, int] = {}
-    of_word, word_sentence, sentence_doc = [], [], []
+    of_word, word_sentence, sentence_doc = array("i"), array("i"), array("i")
     for d, (text, _) in enumerate(sample):
         for sentence in sentences(text):
-            for w in set(sentence.split()):
-                of_word.append(words.setdefault(w, len(words)))
-                word_sentence.append(len(sentence_doc))
+            own = {words.setdefault(w, len(words)) for w in sentence.split()}
+            of_word.extend(own)
+            word_sentence.extend([len(sentence_doc)] * len(own))
             sentence_doc.append(d)
     weights, bias = np.zeros(BINS), -4.0
     labels = np.array([float(y) for _, y in sample])
-    if not len(words) or labels.min(initial=1) == labels.max(initial=0):
+    if not len(of_word) or labels.min(initial=1) == labels.max(initial=0):
         share = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-3, 1 - 1e-3))
         return weights, math.log(share / (1 - share))
-    bins = np.array([features(w) for w in words])
-    of_word, word_sentence, sentence_doc = map(np.array, (of_word, word_sentence, sentence_doc))
-    seen = np.unique(sentence_doc[word_sentence] * len(words) + of_word)  # (document, word), once each
-    pairs = np.unique(np.repeat(seen // len(words), bins.shape[1]) * BINS + bins[seen % len(words)].ravel())
-    frequent = np.bincount(pairs % BINS, minlength=BINS) >= LEAST_DOCS
+    bins = np.fromiter((b for w in words for b in features(w)), np.int32, len(words) * (1 + len(BEGINNINGS))).reshape(len(words), -1)
+    distinct = len(words)
+    del words
+    of_word, word_sentence, sentence_doc = (np.frombuffer(x, np.int32) for x in (of_word, word_sentence, sentence_doc))
+    documents = np.zeros(BINS, np.int32)
+    for own in np.split(of_word, np.searchsorted(sentence_doc[word_sentence], np.arange(1, len(labels)))):
+        documents[np.unique(bins[own])] += 1
+    frequent = documents >= LEAST_DOCS
     used, bins = np.unique(np.where(frequent[bins], bins, 0), return_inverse=True)
-    bins = bins.reshape(len(words), -1)
+    bins = bins.reshape(distinct, -1)
     balance = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
     value = np.zeros(len(used) + 1)
     value[-1] = bias
@@ -88,7 +92,7 @@ def fit(sample: list[tuple[str, int]], rounds: int = 120, rate: float = 0.1, l1:
             none = np.bincount(sentence_doc, np.logaddexp(0, z), len(labels))  # minus the log of "no sentence is toxic"
             slope = np.where(labels == 1, -1 / np.expm1(np.clip(none, 1e-9, 500)), 1.0) * balance
             of_sentence = slope[sentence_doc] / (1 + np.exp(-np.clip(z, -500, 500)))
-            of_words = np.bincount(of_word, of_sentence[word_sentence], len(words))
+            of_words = np.bincount(of_word, of_sentence[word_sentence], distinct)
             gradient = np.append(np.bincount(bins.ravel(), np.repeat(of_words, bins.shape[1]), len(used)), of_sentence.sum())
             gradient[:-1] += penalty * np.sign(value[:-1])
             mean = 0.9 * mean + 0.1 * gradient
