@@ -29,8 +29,8 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^{_BLANK}+|{_BLANK}+\z", "")
 
 
-def redact(text: Column, kind: str = "telemetry", max_len: int = 5000) -> Column:
-    """Replace credential pairs and keywords, then cut the text."""
+def redact(text: Column, kind: str = "telemetry", max_len: int | None = None) -> Column:
+    """Replace credential pairs and keywords; the text is cut only where a length is given."""
     keywords, pairs, trimmed = _KINDS[kind]
     out = strip(text) if trimmed else text
     if pairs:
@@ -38,23 +38,61 @@ def redact(text: Column, kind: str = "telemetry", max_len: int = 5000) -> Column
     out = F.regexp_replace(out, "(?iu)" + "|".join(keywords), fv.REDACTED)
     if trimmed:
         out = F.coalesce(out, F.lit(""))
-    return F.substring(out, 1, max_len)
+    return out if max_len is None else F.substring(out, 1, max_len)
 
 
 def _sensitive_key(key: Column) -> Column:
     return F.lower(key).rlike("|".join(fv.TELEMETRY_KEYWORDS))
 
 
+#: A JSON string, a key with a sensitive word in it, and values: scalars, and containers up to four levels deep.
+_STRING = r'"(?:[^"\\]|\\.)*+"'
+_KEY = r'("(?:[^"\\]|\\.)*?(?:' + "|".join(fv.TELEMETRY_KEYWORDS) + r')(?:[^"\\]|\\.)*+"\s*:\s*)'
+_SCALAR = rf"(?:{_STRING}|[^\s,\[\]{{}}\"]++)"
+
+
+def _container(levels: int) -> str:
+    inside = rf'(?:{_STRING}|[^"\[\]{{}}]' + (f"|{_container(levels - 1)}" if levels > 1 else "") + ")*+"
+    return rf"(?:\{{{inside}\}}|\[{inside}\])"
+
+
+def redact_json(text: Column) -> Column:
+    """Redact JSON text at any depth, lists included: what stands under a sensitive key goes entirely.
+
+    Where a container under a sensitive key is nested too deep to be told from what follows it, the
+    whole text goes.
+    """
+    flags, put = "(?i)", f'$1"{fv.REDACTED}"'
+    out = F.regexp_replace(text, flags + _KEY + _SCALAR, put)
+    out = F.regexp_replace(out, flags + _KEY + _container(4), put)
+    out = F.when(out.rlike(flags + _KEY + r"[\[{]"), F.lit(fv.REDACTED)).otherwise(out)
+    return redact(out)
+
+
+def redact_value(text: Column) -> Column:
+    """Redact a value that may be JSON."""
+    return F.when(F.ltrim(text).rlike(r"^[\[{]"), redact_json(text)).otherwise(redact(text))
+
+
 def redact_map(values: Column) -> Column:
-    """Redact a MAP<STRING,STRING>: values under a sensitive key go entirely."""
+    """Redact a MAP<STRING,STRING>: values under a sensitive key go entirely, JSON values at any depth."""
     return F.transform_values(
         values,
-        lambda k, v: F.when(_sensitive_key(k), F.lit(fv.REDACTED)).otherwise(redact(v)),
+        lambda k, v: F.when(_sensitive_key(k), F.lit(fv.REDACTED)).otherwise(redact_value(v)),
     )
 
 
+def last_of_each_key(entries: Column) -> Column:
+    """Entries whose key doesn't come again later, as a map needs them."""
+    keys = F.transform(entries, lambda e: e["key"])
+    return F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+
+
 def flatten_json(text: Column, depth: int = 3) -> Column:
-    """JSON object text -> array of (path, value) entries, nested objects by dotted path."""
+    """JSON object text -> array of (path, value) entries, nested objects by dotted path.
+
+    Objects below ``depth`` and lists stay JSON text.
+    """
     entries = F.coalesce(
         F.map_entries(F.from_json(text, "map<string,string>")),
         F.array().cast("array<struct<key:string,value:string>>"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import present, redact, redact_map
-from ..functions.redaction import _sensitive_key, flatten_json
+from ..functions.redaction import _sensitive_key, flatten_json, last_of_each_key, redact_value
 
 EVENT_COLUMNS = [
     "event_id", "timestamp", "source", "event_type", "severity", "message", "host", "user", "source_ip",
@@ -195,7 +195,7 @@ def wazuh_to_events(raw: DataFrame) -> DataFrame:
         flatten_json(F.col("data")),
         lambda e: F.struct(
             F.concat(F.lit("wazuh_data."), e["key"]).alias("key"),
-            F.when(_sensitive_key(e["key"]), F.lit(fv.REDACTED)).otherwise(redact(e["value"])).alias("value"),
+            F.when(_sensitive_key(e["key"]), F.lit(fv.REDACTED)).otherwise(redact_value(e["value"])).alias("value"),
         ),
     )
     base = F.create_map(
@@ -215,7 +215,7 @@ def wazuh_to_events(raw: DataFrame) -> DataFrame:
         redact(message).alias("message"),
         redact(host).alias("host"), redact(user).alias("user"),
         redact(source_ip).alias("source_ip"), redact(target_ip).alias("destination_ip"),
-        F.map_concat(base, F.map_from_entries(F.array_distinct(payload))).alias("metadata"),
+        F.map_concat(base, F.map_from_entries(last_of_each_key(payload))).alias("metadata"),
     )
 
 

@@ -143,7 +143,7 @@ def _(ws):
 FEATURES_SQL = BASE_R + """SELECT iid AS incident_id, CAST(severity AS DOUBLE) AS incident_severity, CAST(severity AS DOUBLE) AS correlation_severity,
   CAST(alert_count AS DOUBLE) AS alert_count, CAST(event_count AS DOUBLE) AS event_count, 1.0::DOUBLE AS correlation_count, CAST(mcount AS DOUBLE) AS mitre_count,
   f_auth AS has_auth_attack, f_proc AS has_suspicious_process, f_net AS has_network_activity, f_priv AS has_privilege_escalation,
-  round(span, 4) AS time_span_seconds, 2.0::DOUBLE AS entity_diversity, f_ds AS has_dataset_activity, f_sens AS has_sensitive_data_access, f_bulk AS has_bulk_export,
+  span AS time_span_seconds, 2.0::DOUBLE AS entity_diversity, f_ds AS has_dataset_activity, f_sens AS has_sensitive_data_access, f_bulk AS has_bulk_export,
   f_exf AS has_dataset_exfiltration, 0.0::DOUBLE AS dataset_sensitivity, 0.0::DOUBLE AS records_accessed_normalized, 0.0::DOUBLE AS records_modified_normalized,
   0.0::DOUBLE AS export_volume_normalized, 0.0::DOUBLE AS sensitive_columns_count, f_nov AS actor_novelty, f_bai AS bulk_access_indicator FROM rk0"""
 
@@ -151,9 +151,7 @@ FEATURES_SQL = BASE_R + """SELECT iid AS incident_id, CAST(severity AS DOUBLE) A
 @query("r01_to_r23_features", FEATURES_SQL)
 def _(ws):
     df = R.add_features(ws.incidents, ws.correlations)
-    return df.select("incident_id", *[
-        (F.round(f"f_{n}", 4) if n == "time_span_seconds" else F.col(f"f_{n}")).alias(n) for n in fv.FEATURES
-    ])
+    return df.select("incident_id", *[F.col(f"f_{n}").alias(n) for n in fv.FEATURES])
 
 
 @query("r14_r17_to_r21_evidence_features", with_(EV) + """SELECT event_id, CASE WHEN ds_level='HIGH' THEN 1.0::DOUBLE ELSE 0.0 END AS sensitive, CASE WHEN ds_level='HIGH' THEN 0.5::DOUBLE ELSE 0.0 END AS level,

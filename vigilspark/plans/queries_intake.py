@@ -244,23 +244,23 @@ def _(ws):
     return ws.table("events").select("event_id", F.array_join(N.mitre_as_array(raw), ",").alias("techniques"))
 
 
-def _redact_sql(text: str, words: list[str], pairs: bool, cut: int) -> str:
-    out = f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')" if cut != 5001 else text
+def _redact_sql(text: str, words: list[str], pairs: bool, trimmed: bool) -> str:
+    out = f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')" if trimmed else text
     if pairs:
         out = f"regexp_replace({out}, '(?i){fv.PAIR_PATTERN}', '[REDACTED]', 'g')"
     for word in words:
         out = f"regexp_replace({out}, '(?i){word}', '[REDACTED]', 'g')"
-    return f"substr({out}, 1, {min(cut, 5000)})"
+    return out
 
 
-@query("n11_redact_text", f"SELECT 'd'||doc_id AS id, md5({_redact_sql('text', fv.TELEMETRY_KEYWORDS, True, 5001)}) AS digest FROM documents UNION ALL SELECT 'c'||conv_id||'-'||turn, md5({_redact_sql('text', fv.TELEMETRY_KEYWORDS, True, 5001)}) FROM conversations")
+@query("n11_redact_text", f"SELECT 'd'||doc_id AS id, md5({_redact_sql('text', fv.TELEMETRY_KEYWORDS, True, False)}) AS digest FROM documents UNION ALL SELECT 'c'||conv_id||'-'||turn, md5({_redact_sql('text', fv.TELEMETRY_KEYWORDS, True, False)}) FROM conversations")
 def _(ws):
     docs = ws.table("documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
     talk = ws.table("conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), "text")
     return docs.unionByName(talk).select("id", F.md5(redact(F.col("text"))).alias("digest"))
 
 
-@query("n12_redact_map", f"SELECT conv_id, turn, '[REDACTED]' AS api_token, md5({_redact_sql('text', fv.TELEMETRY_KEYWORDS, True, 5001)}) AS body FROM conversations")
+@query("n12_redact_map", f"SELECT conv_id, turn, '[REDACTED]' AS api_token, md5({_redact_sql('text', fv.TELEMETRY_KEYWORDS, True, False)}) AS body FROM conversations")
 def _(ws):
     values = F.create_map(F.lit("API_Token"), F.col("role"), F.lit("body"), F.col("text"))
     out = redact_map(values)
@@ -268,9 +268,9 @@ def _(ws):
 
 
 for _kind, _words, _pairs in (("case", fv.CASE_KEYWORDS, False), ("response", fv.RESPONSE_KEYWORDS, True), ("report", fv.CASE_KEYWORDS, False)):
-    @query(f"n13_redact_{_kind}", f"SELECT doc_id, md5({_redact_sql('text', _words, _pairs, 3000)}) AS digest FROM documents")
+    @query(f"n13_redact_{_kind}", f"SELECT doc_id, md5({_redact_sql('text', _words, _pairs, True)}) AS digest FROM documents")
     def _(ws, kind=_kind):
-        return ws.table("documents").select("doc_id", F.md5(redact(F.col("text"), kind, 3000)).alias("digest"))
+        return ws.table("documents").select("doc_id", F.md5(redact(F.col("text"), kind)).alias("digest"))
 
 
 @query("n14_activity_event_type", with_(ACT) + "SELECT aid AS activity_id, ety AS event_type FROM acts")

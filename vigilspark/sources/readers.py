@@ -16,18 +16,21 @@ ACTIVITY_SCHEMA = (
     "records_modified bigint, sensitive_columns array<string>, export_size_bytes bigint, "
     "export_destination string, context map<string,string>"
 )
+#: What one value can hold; a larger file can't be looked into.
+MOST_BYTES = (1 << 31) - 1
 FEED_SCHEMA = (
     "ioc_type string, ioc_value string, classification string, threat_category string"
 )
 
 
-def read_csv_headered(spark: SparkSession, path: str) -> DataFrame:
+def read_csv_headered(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """CSV with a header row; every value is text, short rows are filled with ``""``.
 
-    Raises ValueError when the header is blank.
+    Files are split among tasks unless ``multi_line`` says that quoted values hold line breaks; then
+    each file is one task. Raises ValueError when the header is blank.
     """
     df = (
-        spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", True)
+        spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", multi_line)
         .option("escape", '"').option("emptyValue", "").option("nullValue", "\u0000").csv(path)
     )
     # Spark names a blank header cell _c<position>
@@ -37,11 +40,12 @@ def read_csv_headered(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _first_characters(spark: SparkSession, path: str) -> DataFrame:
-    """First non-space character of every file; only file heads are decoded."""
-    return (
-        spark.read.format("binaryFile").load(path)
-        .select(F.substring(F.ltrim(F.decode(F.substring("content", 1, 4096), "UTF-8")), 1, 1).alias("c"))
+    """First character of every file that is not white space, wherever it is; files are read as lines and split."""
+    lines = spark.read.text(path).select(
+        F.substring(F.regexp_replace("value", r"^[\s\x{FEFF}]+", ""), 1, 1).alias("c"), F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"),
     )
+    return lines.where("c <> ''").groupBy("file").agg(F.min_by("c", "at").alias("c")).select("c")
 
 
 def read_json_auto(spark: SparkSession, path: str, on_error: str = "raise", single: str = "auto") -> DataFrame:
@@ -87,8 +91,12 @@ def read_parquet_profile(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def validate_files(spark: SparkSession, path: str, max_bytes: int = fv.UPLOAD_MAX_BYTES) -> DataFrame:
-    """One verdict row per file below ``path``: extension, size, content versus extension."""
+def validate_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """One verdict row per file below ``path``: extension, size, content versus extension.
+
+    Files are refused for their size only beyond ``max_bytes``, if given (uploads take ``UPLOAD_MAX_BYTES``).
+    """
+    max_bytes = MOST_BYTES if max_bytes is None else max_bytes
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     # the size filter is pushed into the source: files beyond the limit are never opened
     small = files.where(F.col("length") <= max_bytes).select("path", "length", "content")
@@ -99,7 +107,9 @@ def validate_files(spark: SparkSession, path: str, max_bytes: int = fv.UPLOAD_MA
 def file_verdicts(files: DataFrame, max_bytes: int = fv.UPLOAD_MAX_BYTES) -> DataFrame:
     name = F.element_at(F.split(F.regexp_replace("path", r"\\", "/"), "/"), -1)
     suffix = F.lower(F.when(name.rlike(r".\.[^.]+$"), F.substring_index(name, ".", -1)).otherwise(F.lit("")))
-    head = F.decode(F.substring("content", 1, 64), "ISO-8859-1")
+    # 64 bytes tell, unless they are all blank
+    start = F.decode(F.substring("content", 1, 64), "ISO-8859-1")
+    head = F.when(start.rlike(r"^[ \t\n\r\x0b\f]*$"), F.decode(F.col("content"), "ISO-8859-1")).otherwise(start)
     magic = F.substring(head, 1, 4) == "PAR1"
     opening = F.substring(F.regexp_replace(head, r"^[ \t\n\r\x0b\f]+", ""), 1, 1)
     json_like = opening.isin("{", "[")

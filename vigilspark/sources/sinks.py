@@ -25,9 +25,21 @@ class Written(NamedTuple):
     outcomes: DataFrame
 
 
-def insert_if_absent(new: DataFrame, stored: DataFrame | None, key: str) -> Written:
-    """Rows with a new key are added; a known key keeps its old row untouched."""
-    unique = new.dropDuplicates([key])
+def _one_of_each(new: DataFrame, key: str, order: str | None, pick) -> DataFrame:
+    """One row a key: ``pick`` by the order column, or by all columns that can be ordered; never an arbitrary one."""
+    by = [order] if order else []
+    by += [f.name for f in new.schema.fields if f.name not in (key, order) and "map<" not in f.dataType.simpleString()]
+    row = F.struct(*new.columns)
+    best = pick(row, F.struct(*by)) if by else F.first(row)
+    return new.groupBy(F.col(key).alias("_key")).agg(best.alias("_row")).select("_row.*")
+
+
+def insert_if_absent(new: DataFrame, stored: DataFrame | None, key: str, order: str | None = None) -> Written:
+    """Rows with a new key are added; a known key keeps its old row untouched.
+
+    Of several new rows of a key the first by ``order`` is inserted.
+    """
+    unique = _one_of_each(new, key, order, F.min_by)
     if stored is None:
         return Written(unique, unique.select(key, F.lit("created").alias("outcome")))
     added = unique.join(stored.select(key), key, "left_anti")
@@ -38,9 +50,12 @@ def insert_if_absent(new: DataFrame, stored: DataFrame | None, key: str) -> Writ
     return Written(stored.unionByName(added.select(*stored.columns)), outcomes)
 
 
-def upsert(new: DataFrame, stored: DataFrame | None, key: str, mutable: Sequence[str]) -> Written:
-    """Known keys get the new values of the mutable columns only; others are added."""
-    unique = new.dropDuplicates([key])
+def upsert(new: DataFrame, stored: DataFrame | None, key: str, mutable: Sequence[str], order: str | None = None) -> Written:
+    """Known keys get the new values of the mutable columns only; others are added.
+
+    Of several new rows of a key the last by ``order`` counts.
+    """
+    unique = _one_of_each(new, key, order, F.max_by)
     if stored is None:
         return Written(unique, unique.select(key, F.lit("created").alias("outcome")))
     joined = stored.withColumn("_old", F.lit(True)).alias("o").join(
@@ -82,15 +97,31 @@ def audit_rows(
 
 
 def append_audit(parts: Sequence[DataFrame], path: str | None = None) -> DataFrame:
-    """Union of the stages' audit rows, appended to ``path`` if one is given."""
+    """Union of the stages' audit rows, appended to ``path`` if one is given.
+
+    Entries whose id is in the log already are not appended again; only the dates that the new
+    entries have are looked at.
+    """
     log = parts[0].select(*AUDIT_COLUMNS)
     for part in parts[1:]:
         log = log.unionByName(part.select(*AUDIT_COLUMNS))
     if path is not None:
-        log.write.mode("append").parquet(path)
+        log = log.dropDuplicates(["audit_id"]).withColumn("day", F.to_date("timestamp"))
+        known = _audit_log(log.sparkSession, path)
+        if known is not None:
+            days = [r[0] for r in log.select("day").distinct().collect()]
+            log = log.join(known.where(F.col("day").isin(days)).select("audit_id"), "audit_id", "left_anti")
+        log.write.mode("append").partitionBy("day").parquet(path)
+        log = log.drop("day")
     return log
 
 
+def _audit_log(spark: SparkSession, path: str) -> DataFrame | None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return spark.read.parquet(path) if fs.exists(folder) else None
+
+
 def _versions(spark: SparkSession, path: str) -> list[int]:
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
