@@ -9,9 +9,13 @@ in any order.
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,7 @@ MASK = 0xA282EAD8
 POLYNOMIAL = 0x82F63B78
 #: Bytes of a piece whose checksum is formed by itself.
 PIECE = 256
-MEMO = 600_000
+MEMO = 1_200_000
 MEMO_BYTES = 200
 
 
@@ -100,25 +104,27 @@ def _ones_after(n: int) -> int:
 TABLE_LIST = TABLE.tolist()
 
 
+def _length_mark(size: int) -> tuple[bytes, bytes]:
+    """A length and its masked checksum."""
+    data, crc = size.to_bytes(8, "little"), 0xFFFFFFFF
+    for byte in data:
+        crc = TABLE_LIST[(crc ^ byte) & 255] ^ (crc >> 8)
+    return data, masked(crc ^ 0xFFFFFFFF).to_bytes(4, "little")
+
+
 def masked(crc: int) -> int:
     return (((crc >> 15) | (crc << 17)) + MASK) & 0xFFFFFFFF
 
 
 def framed(records: list[bytes]) -> list[bytes]:
-    lengths = [len(r).to_bytes(8, "little") for r in records]
-    heads, tails = crc32c(lengths), crc32c(records)
-    return [
-        b"".join((n, masked(h).to_bytes(4, "little"), r, masked(t).to_bytes(4, "little")))
-        for n, h, r, t in zip(lengths, heads, records, tails)
-    ]
+    return [b"".join((*_length_mark(len(r)), r, masked(crc).to_bytes(4, "little"))) for r, crc in zip(records, crc32c(records))]
 
 
 def unframed(frames: list[bytes]) -> list[bytes]:
     """The records' data; raises where a length or checksum is wrong."""
     records = [f[HEAD:-TAIL] for f in frames]
-    heads, tails = crc32c([f[:8] for f in frames]), crc32c(records)
-    for f, r, h, t in zip(frames, records, heads, tails):
-        if int.from_bytes(f[:8], "little") != len(r) or int.from_bytes(f[8:HEAD], "little") != masked(h) or int.from_bytes(f[-TAIL:], "little") != masked(t):
+    for f, r, crc in zip(frames, records, crc32c(records)):
+        if f[:HEAD] != b"".join(_length_mark(len(r))) or int.from_bytes(f[-TAIL:], "little") != masked(crc):
             raise ValueError("a record's length or checksum is wrong")
     return records
 
@@ -126,28 +132,86 @@ def unframed(frames: list[bytes]) -> list[bytes]:
 class Encoder:
     """The tokenizer's ids of a text; words between ASCII white space are encoded once and remembered.
 
-    Fit for tokenizers whose pre-tokens never hold white space.
+    Fit for tokenizers whose pre-tokens never hold white space. If also every pre-token's last token
+    has a mark of its own (a word-end suffix), plain Latin words are handed to the library many at a
+    time, parted by blanks, and their ids are parted at the marks.
     """
 
+    #: Marks after a plain word, which form a pre-token of their own and can't be part of a special token.
+    MARKS = b".,;:!?*$%&#"
+    #: Plain words: Latin letters (without the one whose small form is no single letter).
+    PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
+    TOGETHER = 500
+
     def __init__(self, definition: str, width: int, memo: int = MEMO):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
-        self.tokenizer, self.width, self.memo = Tokenizer.from_str(definition), width, memo
+        self.tokenizer, self.kind, self.memo = Tokenizer.from_str(definition), f"<u{width}", memo
+        self.width = width
+        #: Words since half the memory was full last, and those before.
         self.words: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {b"": b""}
+        parts = json.loads(definition)
+        suffix = parts["model"].get("end_of_word_suffix")
+        self.last = None
+        if suffix and not any(w.isalpha() for w in (t["content"] for t in parts["added_tokens"])):
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.joined = Tokenizer.from_str(definition)
+        steps = (parts.get("normalizer") or {}).get("normalizers", [])
+        if [step["type"] for step in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": "\\s+"} and steps[1]["content"] == " ":
+            self.joined.normalizer = normalizers.Lowercase()  # composed words between single blanks: the other steps change nothing
+
+    def _alone(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words."""
+        texts = [" ".join(words[k : k + self.TOGETHER]) for k in range(0, len(words), self.TOGETHER)]
+        found: list[bytes] = []
+        for e in self.joined.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(e.ids, self.kind)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * self.width).tolist()
+            data = ids.tobytes()
+            found += [data[a:b] for a, b in zip([0, *ends], ends)]
+        return found if len(found) == len(words) else self._alone(words)
+
+    def _learn(self, new: set[bytes]) -> None:
+        others, plain, cores, marks = [], [], [], []
+        for word in new:
+            core = word.rstrip(self.MARKS)
+            if self.last is not None and (core.isalpha() or core and self._latin(core.decode())):
+                plain.append(word)
+                cores.append(core)
+                marks.append(word[len(core) :])
+            else:
+                others.append(word)
+        self.words.update(zip(others, self._alone([w.decode() for w in others])))
+        tails = list(set(marks) - self.tails.keys())
+        self.tails.update(zip(tails, self._alone([t.decode() for t in tails])))
+        distinct = list(set(cores))
+        heads = dict(zip(distinct, self._together([c.decode() for c in distinct])))
+        self.words.update(zip(plain, map(add, map(heads.__getitem__, cores), map(self.tails.__getitem__, marks))))
+
+    def _latin(self, text: str) -> bool:
+        return self.PLAIN(text) is not None and unicodedata.is_normalized("NFC", text)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]
-        words = self.words
-        new = list({w for ws in split for w in ws if w not in words})
-        if len(words) + len(new) > self.memo:
-            words.clear()
-            new = list({w for ws in split for w in ws})
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        kind = f"<u{self.width}"
-        words.update(zip(new, [np.array(e.ids, kind).tobytes() for e in found]))
-        out = [b"".join(map(words.__getitem__, ws)) for ws in split]
-        if len(words) > self.memo:
-            words.clear()  # one batch of long texts may hold more words than are to be remembered
+        used = set().union(*split)
+        new = used.difference(self.words)
+        if len(self.words) + len(new) > self.memo // 2:
+            self.before, self.words, new = self.words, {}, used
+        again = new.intersection(self.before)
+        self.words.update(zip(again, map(self.before.__getitem__, again)))
+        if len(new) > len(again):
+            self._learn(new - again)
+        found = self.words.__getitem__
+        out = [b"".join(map(found, ws)) for ws in split]
+        if len(self.words) > self.memo:
+            self.words = {}  # one batch of long texts may hold more words than are to be remembered
         return out
 
 
