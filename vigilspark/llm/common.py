@@ -55,14 +55,19 @@ def small_side(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFra
 
 
 class Memo(dict):
-    """Results of a pure function by key, emptied when ``most`` keys are held."""
+    """Results of a pure function by key, ``most`` at once. When half of them are new since the last
+    time, those before are forgotten unless they are asked for again, so frequent keys stay."""
 
     def __init__(self, fn: Callable, most: int):
         super().__init__()
-        self.fn, self.most = fn, most
+        self.fn, self.half, self.before = fn, max(1, most // 2), {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        if len(self) >= self.half:
+            self.before = dict(self)
             self.clear()
-        value = self[key] = self.fn(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.fn(key)
+        self[key] = value
         return value
