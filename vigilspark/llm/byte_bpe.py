@@ -22,7 +22,7 @@ from .common import Memo, per_document, texts_of
 
 #: White space as the Unicode property has it; the control characters 1C-1F are not in it.
 BLANK = r"\x09-\x0d\x20\x85\xa0  -     　"
-MEMO = 500_000
+MEMO = 400_000
 #: A vocabulary has at most 65,536 ranks here: one upper word.
 BIT = [1 << i for i in range(256)]
 #: A longer chunk is not remembered.

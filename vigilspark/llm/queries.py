@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import encode_and_decode
 from .common import read, remainder
-from .decontaminate import overlaps
+from .decontaminate import ALIKE, RUN, overlaps
 from .language import identify, language_model
 from .quality import CUT, quality_model, score_quality
 from .records import read_records, record_digests, records_folder, write_records
@@ -96,5 +96,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_WORDS = "list_filter(string_split(regexp_replace(lower(text), '[\\t\\n\\x0B\\f\\r]', ' ', 'g'), ' '), lambda x: x <> '')"
+#: Every alignment of every item with every document, by their equal words; the run and share are those of the operator.
+OVERLAPS_SQL = f"""
+WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+d AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos, len(w) AS n FROM dw),
+i AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos, len(w) AS n FROM iw),
+m AS (SELECT doc_id, item_id, d.pos - i.pos AS shift, i.pos AS j, d.n AS dn, i.n AS n FROM d JOIN i USING (word)),
+g AS (SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, shift) >= ceil(least({RUN}, n) * {ALIKE})),
+r AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j RANGE BETWEEN CURRENT ROW AND {RUN - 1} FOLLOWING) AS in_run FROM g),
+p AS (SELECT doc_id, item_id, shift, any_value(dn) AS dn, any_value(n) AS n, count(*) AS n_equal FROM r
+  GROUP BY doc_id, item_id, shift HAVING max(in_run) >= ceil(least({RUN}, any_value(n)) * {ALIKE})),
+b AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id) AS n_places FROM p
+  QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, shift) = 1)
+SELECT doc_id, item_id, CAST(greatest(shift, 0) AS INTEGER) AS doc_word, CAST(greatest(-shift, 0) AS INTEGER) AS item_word,
+  CAST(least(n, dn - shift) - greatest(-shift, 0) AS INTEGER) AS n_words, CAST(n_equal AS INTEGER) AS n_equal, n_places FROM b"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": OVERLAPS_SQL}
