@@ -282,9 +282,10 @@ def ti_summary(enrichments: DataFrame) -> DataFrame:
     )
 
 
-def find_by_ioc(enrichments: DataFrame, ioc_type: str, value: str, limit: int = 100) -> DataFrame:
+def find_by_ioc(enrichments: DataFrame, ioc_type: str, value: str, limit: int | None = None) -> DataFrame:
     """Results for one indicator, newest first."""
-    return (
+    found = (
         enrichments.where((F.col("ioc_type") == ioc_type) & (F.col("ioc_value") == value))
-        .orderBy(F.col("lookup_timestamp").desc(), "enrichment_id").limit(limit)
+        .orderBy(F.col("lookup_timestamp").desc(), "enrichment_id")
     )
+    return found if limit is None else found.limit(limit)

@@ -255,13 +255,14 @@ def linked_ids(evidence: DataFrame) -> DataFrame:
     )
 
 
-def case_notes(notes: DataFrame, limit: int = 100) -> DataFrame:
-    """Redacted notes, oldest first, the first ``limit`` of each case; empty ones go."""
-    clean = notes.withColumn("content", redact(F.col("content"), "case", 5000)).where("content <> ''").withColumn(
+def case_notes(notes: DataFrame, limit: int | None = None) -> DataFrame:
+    """Redacted notes, oldest first, with their position; all, or the first ``limit`` of each case. Empty ones go."""
+    clean = notes.withColumn("content", redact(F.col("content"), "case")).where("content <> ''").withColumn(
         "author", redact(F.col("author"), "case", 256)
     )
     rank = F.row_number().over(Window.partitionBy("case_id").orderBy("created_at", "note_id"))
-    return clean.withColumn("position", rank).where(F.col("position") <= limit)
+    ranked = clean.withColumn("position", rank)
+    return ranked if limit is None else ranked.where(F.col("position") <= limit)
 
 
 def case_timeline(audit: DataFrame, case: str | None = None) -> DataFrame:
@@ -319,14 +320,15 @@ def propose_responses(
     return out if stored is None else out.join(stored.select("action_id"), "action_id", "left_anti")
 
 
-def case_view(cases: DataFrame, notes: DataFrame, evidence: DataFrame, limit: int = 100) -> DataFrame:
-    """Cases with their first notes nested and their evidence references counted.
+def case_view(cases: DataFrame, notes: DataFrame, evidence: DataFrame, shown: int = 100) -> DataFrame:
+    """Cases with their first ``shown`` notes nested, and all notes and evidence references counted.
 
-    Notes are bounded per case; evidence can be large, so it stays a table of its own and
-    only its counts per type are nested.
+    Notes and evidence can be many, so in full they stay tables of their own (``case_notes``, ``link_evidence``).
     """
-    shown = case_notes(notes, limit).groupBy("case_id").agg(
-        F.array_sort(F.collect_list(F.struct("created_at", "note_id", "author", "content"))).alias("notes")
+    note = F.struct("created_at", "note_id", "author", "content")
+    shown = case_notes(notes).groupBy("case_id").agg(
+        F.count("*").alias("note_count"),
+        F.array_sort(F.collect_list(F.when(F.col("position") <= shown, note))).alias("notes"),
     )
     refs = (
         evidence.groupBy("case_id", "evidence_type").agg(F.count("*").alias("n"))

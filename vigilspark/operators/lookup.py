@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def recent(df: DataFrame, time: str, limit: int, since: Column | None = None, tie: str | None = None) -> DataFrame:
-    """Newest rows first."""
+def recent(df: DataFrame, time: str, limit: int | None = None, since: Column | None = None, tie: str | None = None) -> DataFrame:
+    """Newest rows first; all of them, or the ``limit`` newest."""
     if since is not None:
         df = df.where(F.col(time) >= since)
     order = [F.col(time).desc()] + ([F.col(tie)] if tie else [])
-    return df.orderBy(*order).limit(limit)
+    df = df.orderBy(*order)
+    return df if limit is None else df.limit(limit)
 
 
 def filtered(df: DataFrame, **equal: object) -> DataFrame:
@@ -25,7 +26,7 @@ def filtered(df: DataFrame, **equal: object) -> DataFrame:
 
 def list_correlations(
     correlations: DataFrame, members: DataFrame, status: str | None = None, alert_id: str | None = None,
-    event_id: str | None = None, limit: int = 100,
+    event_id: str | None = None, limit: int | None = None,
 ) -> DataFrame:
     """An alert or event id is looked up in the member table (pushed-down filter)."""
     out = filtered(correlations, status=status)
@@ -37,7 +38,7 @@ def list_correlations(
 
 def list_incidents(
     incidents: DataFrame, status: str | None = None, correlation_id: str | None = None, min_severity: int | None = None,
-    limit: int = 100,
+    limit: int | None = None,
 ) -> DataFrame:
     """K03."""
     out = filtered(incidents, status=status)
@@ -54,18 +55,18 @@ def latest_per(df: DataFrame, key: str, time: str, tie: str) -> DataFrame:
 
 
 def list_cases(
-    cases: DataFrame, status: str | None = None, priority: str | None = None, assignee: str | None = None, limit: int = 100
+    cases: DataFrame, status: str | None = None, priority: str | None = None, assignee: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """K05."""
     return recent(filtered(cases, status=status, priority=priority, assignee=assignee), "updated_at", limit, tie="case_id")
 
 
-def list_activities(activities: DataFrame, dataset_id: str | None = None, actor: str | None = None, limit: int = 100) -> DataFrame:
+def list_activities(activities: DataFrame, dataset_id: str | None = None, actor: str | None = None, limit: int | None = None) -> DataFrame:
     """K06."""
     return recent(filtered(activities, dataset_id=dataset_id, actor=actor), "timestamp", limit, tie="activity_id")
 
 
-def list_responses(responses: DataFrame, incident_id: str | None = None, limit: int = 100) -> DataFrame:
+def list_responses(responses: DataFrame, incident_id: str | None = None, limit: int | None = None) -> DataFrame:
     """K07."""
     return recent(filtered(responses, incident_id=incident_id), "requested_at", limit, tie="action_id")
 

@@ -332,7 +332,7 @@ def _(ws):
     return T.ti_summary(ws.enrichments).select("incident_id", "total_indicators", "malicious_count", "benign_count", "unknown_count")
 
 
-@query("t11_find_by_ioc", BASE_T + "SELECT eid AS enrichment_id, iid AS incident_id, cls AS classification FROM enc WHERE ty='ipv4' AND nv='198.51.100.99' ORDER BY eid LIMIT 100")
+@query("t11_find_by_ioc", BASE_T + "SELECT eid AS enrichment_id, iid AS incident_id, cls AS classification FROM enc WHERE ty='ipv4' AND nv='198.51.100.99' ORDER BY eid")
 def _(ws):
     return T.find_by_ioc(ws.enrichments, "ipv4", "198.51.100.99").select("enrichment_id", "incident_id", "classification")
 

@@ -303,11 +303,11 @@ def _(ws):
     return L.link_evidence(ws.evidence_links()).drop("added_at")
 
 
-NOTE_TEXT = _redact_sql("text", fv.CASE_KEYWORDS, False, 5000)
+NOTE_TEXT = _redact_sql("text", fv.CASE_KEYWORDS, False, True)
 
 
 @query("l06_case_notes", f"""WITH n AS (SELECT 'case-'||(conv_id%97) AS case_id, 'note-'||conv_id||'-'||turn AS note_id, conv_id*60+turn AS tick, {NOTE_TEXT} AS content FROM conversations),
- k AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY tick, note_id) AS position FROM n WHERE content<>'') SELECT case_id, note_id, position, md5(content) AS content FROM k WHERE position<=100""")
+ k AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY tick, note_id) AS position FROM n WHERE content<>'') SELECT case_id, note_id, position, md5(content) AS content FROM k""")
 def _(ws):
     return L.case_notes(ws.case_notes()).select("case_id", "note_id", "position", F.md5("content").alias("content"))
 
@@ -326,14 +326,14 @@ def _(ws):
     return ws.responses.select("action_id", "incident_id", "action_type", F.coalesce("result", F.lit("-")).alias("result"))
 
 
-@query("l09_case_view", f"""WITH c AS (SELECT DISTINCT 'case-'||(user_id%97) AS case_id FROM events), n AS (SELECT 'case-'||(conv_id%97) AS case_id, least(100, count(*)) AS notes FROM conversations WHERE {NOTE_TEXT}<>'' GROUP BY 1),
+@query("l09_case_view", f"""WITH c AS (SELECT DISTINCT 'case-'||(user_id%97) AS case_id FROM events), n AS (SELECT 'case-'||(conv_id%97) AS case_id, count(*) AS notes FROM conversations WHERE {NOTE_TEXT}<>'' GROUP BY 1),
  e AS (SELECT 'case-'||(user_id%97) AS case_id, count(DISTINCT event_id%40) FILTER (event_id%4=2) AS incidents FROM events GROUP BY 1)
 SELECT c.case_id, coalesce(n.notes,0) AS notes, coalesce(e.incidents,0) AS incidents FROM c LEFT JOIN n USING (case_id) LEFT JOIN e USING (case_id)""")
 def _(ws):
     cases = ws.case_changes().select(F.col("entity_id").alias("case_id")).distinct()
     view = L.case_view(cases, ws.case_notes(), L.link_evidence(ws.evidence_links()))
     return view.select(
-        "case_id", F.coalesce(F.size(F.coalesce("notes", F.array())), F.lit(0)).alias("notes"),
+        "case_id", F.coalesce("note_count", F.lit(0)).alias("notes"),
         F.coalesce(F.try_element_at("evidence_counts", F.lit("incident")), F.lit(0)).alias("incidents"),
     )
 
@@ -352,13 +352,13 @@ def _(ws):
     return K.recent(ws.live_alerts, "timestamp", 200, since, "alert_id").select("alert_id")
 
 
-@query("k02_list_correlations", with_(EV, AL, CO) + "SELECT cid AS correlation_id FROM co WHERE cid IN (SELECT cid FROM mb WHERE alert_id=(SELECT min(alert_id) FROM mb)) ORDER BY last_us DESC, cid LIMIT 100")
+@query("k02_list_correlations", with_(EV, AL, CO) + "SELECT cid AS correlation_id FROM co WHERE cid IN (SELECT cid FROM mb WHERE alert_id=(SELECT min(alert_id) FROM mb)) ORDER BY last_us DESC, cid")
 def _(ws):
     first = ws.members.agg(F.min("alert_id")).first()[0]
     return K.list_correlations(ws.correlations, ws.members, status="open", alert_id=first).select("correlation_id")
 
 
-@query("k03_list_incidents", BASE_I + "SELECT iid AS incident_id, CAST(severity AS INTEGER) AS severity FROM inc WHERE severity>=12 ORDER BY last_us DESC, iid LIMIT 100")
+@query("k03_list_incidents", BASE_I + "SELECT iid AS incident_id, CAST(severity AS INTEGER) AS severity FROM inc WHERE severity>=12 ORDER BY last_us DESC, iid")
 def _(ws):
     return K.list_incidents(ws.incidents, status="open", min_severity=12).select("incident_id", "severity")
 
@@ -369,17 +369,17 @@ def _(ws):
     return K.latest_per(ws.risks.unionByName(older), "incident_id", "scored_at", "assessment_id").select("incident_id", "risk_score")
 
 
-@query("k05_list_cases", BASE_I + "SELECT 'case-'||substr(sha256('case:'||iid),1,16) AS case_id FROM inc WHERE severity>=12 ORDER BY last_us DESC, case_id LIMIT 100")
+@query("k05_list_cases", BASE_I + "SELECT 'case-'||substr(sha256('case:'||iid),1,16) AS case_id FROM inc WHERE severity>=12 ORDER BY last_us DESC, case_id")
 def _(ws):
     return K.list_cases(ws.cases, status="open", priority="critical").select("case_id")
 
 
-@query("k06_list_activities", with_(ACT) + "SELECT aid AS activity_id FROM act WHERE ds='ds-1' AND actor='user-4' ORDER BY us DESC, aid LIMIT 100")
+@query("k06_list_activities", with_(ACT) + "SELECT aid AS activity_id FROM act WHERE ds='ds-1' AND actor='user-4' ORDER BY us DESC, aid")
 def _(ws):
     return K.list_activities(ws.activities, "ds-1", "user-4").select("activity_id")
 
 
-@query("k07_list_responses", BASE_I + "SELECT 'resp-'||substr(sha256('response:'||iid||':'||a),1,16) AS action_id FROM inc, (VALUES ('isolate_endpoint'),('quarantine_file'),('revoke_credentials'),('restrict_dataset_access')) v(a) ORDER BY last_us DESC, action_id LIMIT 100")
+@query("k07_list_responses", BASE_I + "SELECT 'resp-'||substr(sha256('response:'||iid||':'||a),1,16) AS action_id FROM inc, (VALUES ('isolate_endpoint'),('quarantine_file'),('revoke_credentials'),('restrict_dataset_access')) v(a) ORDER BY last_us DESC, action_id")
 def _(ws):
     return K.list_responses(ws.responses).select("action_id")
 
