@@ -1,7 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from tests.test_correlation import frame, random_stream
+from tests.test_correlation import alert, frame, random_stream
 from vigilspark.operators import correlate as C
 from vigilspark.streaming import streams as X
 
@@ -37,13 +39,25 @@ def test_micro_batches_give_the_batch_result(spark, tmp_path):
     assert sink.late.read(spark, stream.schema).count() == 0
 
 
-def test_late_alerts_are_set_aside(spark, tmp_path):
-    from tests.test_correlation import alert
-
-    sink = X.CorrelationSink(str(tmp_path / "state"))
-    sink(wide(spark, [alert("2", "builtin-003", 1000, user="u", alert_id="a2")]), 0)
-    sink(wide(spark, [alert("1", "builtin-003", 10, user="u", alert_id="a1")]), 1)
-    assert rows(sink.late.read(spark, wide(spark, [alert("1", "builtin-003", 10)]).schema), "alert_id") == [("a1",)]
+def test_late_alerts_count_within_the_lateness(spark, tmp_path):
+    """Arrivals out of order by up to the lateness give the batch result; older ones are kept and replayed."""
+    lateness = 1800
+    alerts = [a for f in ("builtin", "dataset") for s in range(4) for a in random_stream(f"{f}late{s}", f)]
+    rng = random.Random(8)
+    arrived = sorted(alerts, key=lambda a: (a["ts"] + rng.randint(0, lateness), a["alert_id"]))
+    sink = X.CorrelationSink(str(tmp_path / "state"), lateness=lateness)
+    third = len(arrived) // 3 + 1
+    for i in range(3):
+        sink(wide(spark, arrived[i * third : (i + 1) * third]), i)
+    whole = C.correlate(frame(spark, alerts))
+    assert rows(sink.current(spark), *SHOWN) == rows(whole.correlations, *SHOWN)
+    assert rows(sink.current_members(spark), "correlation_id", "alert_id") == rows(whole.members, "correlation_id", "alert_id")
+    assert sink.late.read(spark, wide(spark, alerts[:1]).schema).count() == 0
+    behind = alert("old", "builtin-003", -50_000, user="u", alert_id="a-old")
+    sink(wide(spark, [behind]), 3)
+    assert rows(sink.late.read(spark, wide(spark, [behind]).schema), "alert_id") == [("a-old",)]
+    replayed = C.correlate(frame(spark, [*alerts, behind]))
+    assert rows(sink.replayed(spark).correlations, *SHOWN) == rows(replayed.correlations, *SHOWN)
 
 
 def events_stream(spark, tmp_path, repeat):
