@@ -16,11 +16,15 @@ def train_risk_model(df: DataFrame, features: Sequence[str], label: str = "label
     """Class-balanced, L2-regularized logistic regression on standardized features.
 
     Returns weights and intercept for the unscaled features. The whole fit runs on Spark;
-    only the moments and the coefficients (one number per feature) come to the driver.
+    only the moments the coefficients (one number per feature) and the two classes' counts come to the driver.
     """
-    counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    balance = counts.select(label, (total / (F.count("*").over(Window.partitionBy()) * F.col("n"))).alias("class_weight"))
+    classes = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).limit(3).collect()
+    if len(classes) > 2:
+        raise ValueError(f"{label}: more than two classes")
+    total = sum(r["n"] for r in classes)
+    weight = F.lit(None)
+    for r in classes:
+        weight = F.when(F.col(label) == r[label], F.lit(total / (len(classes) * r["n"]))).otherwise(weight)
     moments = df.agg(
         *[F.avg(f).alias(f"m_{i}") for i, f in enumerate(features)],
         *[F.stddev_pop(f).alias(f"s_{i}") for i, f in enumerate(features)],
@@ -28,8 +32,8 @@ def train_risk_model(df: DataFrame, features: Sequence[str], label: str = "label
     ).first()
     mean = [moments[f"m_{i}"] for i in range(len(features))]
     scale = [moments[f"s_{i}"] or 1.0 for i in range(len(features))]
-    scaled = df.join(F.broadcast(balance), label).select(
-        F.col(label).cast("double").alias("label"), "class_weight",
+    scaled = df.where(F.col(label).isNotNull()).select(
+        F.col(label).cast("double").alias("label"), weight.cast("double").alias("class_weight"),
         *[((F.col(f) - m) / s).alias(f"z_{i}") for i, (f, m, s) in enumerate(zip(features, mean, scale))],
     )
     rows = VectorAssembler(inputCols=[f"z_{i}" for i in range(len(features))], outputCol="features").transform(scaled)

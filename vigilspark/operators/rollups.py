@@ -25,17 +25,15 @@ def activity_trend_12(alerts: DataFrame, incidents: DataFrame, correlations: Dat
         .unionByName(correlations.select("timestamp", F.lit("correlations").alias("kind")))
         .where("timestamp is not null").withColumn("t", F.unix_micros("timestamp"))
     )
-    # equal times are merged before the period is known, so the window sees few rows
-    merged = marks.groupBy("kind", "t").agg(F.count("*").alias("n"))
-    period = merged.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).select(
+    period = marks.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).select(
         "lo", (F.greatest(F.col("hi") - F.col("lo"), F.lit(HOUR_US)) / BUCKETS).alias("width")
     )
     one = F.lit(1).alias("k")
-    placed = merged.withColumn("k", one).join(F.broadcast(period.withColumn("k", one)), "k").withColumn(
+    placed = marks.withColumn("k", one).join(F.broadcast(period.withColumn("k", one)), "k").withColumn(
         "bucket",
         F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), F.ceil((F.col("t") - F.col("lo")) / F.col("width")) - 1)).cast("int"),
     )
-    counted = placed.groupBy("bucket").pivot("kind", ["alerts", "incidents", "correlations"]).agg(F.sum("n"))
+    counted = placed.groupBy("bucket").pivot("kind", ["alerts", "incidents", "correlations"]).agg(F.count(F.lit(1)))
     frame = period.select("lo", "width", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))).alias("bucket"))
     start = F.timestamp_micros(F.floor(F.col("lo") + F.col("bucket") * F.col("width")).cast("bigint"))
     return frame.join(counted, "bucket", "left").select(
