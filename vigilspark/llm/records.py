@@ -277,7 +277,10 @@ def write_records(
             )
         if out is not None:
             out.close()
-            fs.move(temporary, f"{root}/{_shard(shard)}")
+            target = f"{root}/{_shard(shard)}"
+            if fs.get_file_info(target).type != pa.fs.FileType.NotFound:
+                fs.delete_file(target)  # of an attempt that was repeated; not every store replaces on a move
+            fs.move(temporary, target)
             yield from index  # only once the shard is whole
 
     n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
