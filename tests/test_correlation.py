@@ -142,7 +142,7 @@ def other_severities(seed, stream):
 
 def test_partners_are_told_by_rule_alone(spark):
     """Stored alerts of a re-tuned rule have severities that the rule no longer has."""
-    streams = [other_severities(s, random_stream(f"x{s}", "")) for s in range(40)]
+    streams = [other_severities(s, random_stream(f"x{s}", "")) for s in range(15)]
     expected = [c for s in streams for c in replay(s)[0]]
     found = C.correlate(frame(spark, [a for s in streams for a in s])).correlations.collect()
     got = {(r["correlation_type"], r["entity_key"], r["founding_alert_id"]): (r["alert_count"], r["severity"]) for r in found}
@@ -150,7 +150,7 @@ def test_partners_are_told_by_rule_alone(spark):
 
 
 def test_more_kinds_than_are_counted_side_by_side(spark):
-    streams = [other_severities(s, random_stream(f"y{s}", "")) for s in range(25)]
+    streams = [other_severities(s, random_stream(f"y{s}", "")) for s in range(8)]
     alerts = frame(spark, [a for s in streams for a in s])
     parts = C.participations(alerts, C.all_rules())
     columns = ["correlation_type", "alert_id", "partners", "matched"]
