@@ -79,6 +79,19 @@ def test_frequencies_and_samples(spark):
     assert len(language.labelled_sample(docs, docs, "lang", F.lit(True), ["y"], 100, 23)) == 4  # bounded by code points
 
 
+def test_long_texts_dont_empty_a_class(spark):
+    order = [r["id"] for r in spark.range(40).orderBy(F.xxhash64("id"), "id").collect()]
+    long = {order[0]: "a" * 101, order[1]: "b" * 90, order[2]: "c" * 90}  # one that never fits, two of which one would fill the bound
+    docs = spark.createDataFrame([(i, long.get(i, f"t{i:03d}"), "x") for i in order], "doc_id bigint, text string, lang string")
+    draw = lambda docs, rows, chars: language.labelled_sample(docs, docs, "lang", F.lit(True), ["x"], rows, chars)
+    assert {t for t, _ in draw(docs, 100, 100)} == {f"t{i:03d}" for i in order[3:28]}
+    assert {t for t, _ in draw(docs, 5, 100)} == {f"t{i:03d}" for i in order[3:8]}
+    assert {t for t, _ in draw(docs, 100, 240)} == {f"t{i:03d}" for i in order[3:]} | {"b" * 90}  # 148 + 90; the first doesn't fit any more
+    only = docs.where(F.length("text") > 4)
+    assert [t for t, _ in draw(only, 100, 150)] == ["a" * 101]
+    assert draw(only, 100, 50) in ([("b" * 90, "x")], [("c" * 90, "x")])  # the shortest, as none fits
+
+
 def test_ngrams_of_pieces_are_those_of_the_whole(monkeypatch):
     text = "Zwölf Boxkämpfer 日本語 " * 30
     whole = language.counts(text)
