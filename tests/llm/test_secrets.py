@@ -50,6 +50,46 @@ def test_structures_are_confirmed():
     assert kinds(f"see {JWT} here") == ["jwt"]
 
 
+def wrapped(data, end="\n"):
+    return end.join(re.findall(".{1,64}", b64(data)))
+
+
+def covered(text):
+    return [text[a:b] for a, b, k in all_spans(text) if k in ("der", "ssh")]
+
+
+def test_keys_next_to_other_runs():
+    one = PKCS8
+    other = one[:-1] + b"\x99"
+    assert len(b64(one)) == 64 and len(one) == 48
+    assert covered(f"{b64(one)}\n{b64(other)}\n") == [b64(one), b64(other)]
+    assert covered("\n".join([b64(one)] * 5)) == [b64(one)] * 5
+    for line in ("ab12" * 16, "-" * 64, "A" * 64, "x_" * 40, "z" * 54, b64(SSH), b64(one)):
+        for key in (one, RSA, SSH, OPENSSH):
+            assert any(wrapped(key) in x for x in covered(f"{line}\n{wrapped(key)}\nend")), (line, key)
+    assert covered(f"{b64(one)}\r\n{b64(other)}") == [b64(one), b64(other)]
+
+
+def test_keys_with_written_line_ends():
+    for end in ("\\n", "\\r\\n", "\\\\n", "\r\n"):
+        for key in (PKCS8, RSA, PUBLIC, SSH, OPENSSH):
+            body = wrapped(key, end)
+            assert covered(f'{{"key": "-----BEGIN KEY-----{end}{body}{end}-----END KEY-----{end}"}}') == [body], (end, key)
+
+
+def test_last_line_is_full():
+    """Keys of whole lines: the armour isn't their last line."""
+    number = lambda n: der(2, b"\1" + bytes(k % 251 + 1 for k in range(n - 1)))
+    full = next(k for n in range(33, 200) if len(k := der(0x30, der(2, b"\0") + NUMBER * 7 + number(n))) % 48 == 0)
+    dss = field(b"ssh-dss") + field(bytes([1] * 129)) + field(bytes([1] * 20)) + field(bytes([1] * 64)) + field(bytes([1] * 51))
+    dss += b"" if len(dss) % 48 == 0 else field(bytes([1] * ((-len(dss) - 4) % 48 + 48)))
+    for key in (full, dss):
+        assert len(b64(key)) % 64 == 0
+        assert covered(f"-----BEGIN KEY-----\n{wrapped(key)}\n-----END KEY-----\n") == [wrapped(key)]
+    twice = f"{wrapped(full)}\n{wrapped(full)}"
+    assert covered(twice) == [wrapped(full)] * 2
+
+
 def test_what_only_looks_like_a_key_is_left():
     broken = bytearray(RSA)
     broken[8] ^= 0x40  # an inner length no longer adds up

@@ -30,8 +30,12 @@ ASSIGN = re.compile(rf"""({KEYWORD})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)
 ACCESS = re.compile(rf"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}")
 HEX = re.compile(rf"[0-9a-f]{{{HEX_LEAST},}}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-#: Candidates to decode (a key takes 40 bytes or more): 54 or more base64 letters and the lines that follow them in a wrapped block.
-LONG_RUN = re.compile(r"[A-Za-z0-9+/_-]{54,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+#: Where a key can begin (it takes 40 bytes or more), the lines of a wrapped block, and what ends a line, also as JSON and env files write it.
+LONG_LINE = re.compile(r"[A-Za-z0-9+/_-]{54,}")
+LINE = re.compile(r"(?!-----)[A-Za-z0-9+/_-]+")
+LINE_END = re.compile(r"\r?\n|(?:\\+r)?\\+n")
+#: Characters at a key's start that tell whether it can be one.
+HEAD = 48
 SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 OPENSSH = b"openssh-key-v1\0"
 SEQUENCE, INTEGER, BITS, OCTETS, OID = 0x30, 0x02, 0x03, 0x04, 0x06
@@ -132,20 +136,66 @@ def _decoded(text: str) -> Iterator[tuple[int, int, str]]:
         for m in JWT.finditer(text):
             if is_signed_token(m[0]):
                 yield m.start(), m.end(), "jwt"
-    for m in LONG_RUN.finditer(text):
-        for run in dict.fromkeys((_block(m[0]), m[0].split("\n")[0].rstrip("\r"))):
-            kind = next((k for k in map(_key_kind, (_unhex(run), _unbase64(run))) if k), None)
-            if kind:
-                yield m.start(), m.start() + len(run), kind
+    covered = 0
+    for m in LONG_LINE.finditer(text):
+        at = m.start()
+        escaped = at > 0 and text[at - 1] == "\\" and text[at] in "nr" and m.end() - at > 54  # the letter belongs to a written line end
+        for start in (at + 1, at) if escaped else (at,):
+            found = _key_at(text, start, m.end()) if start >= covered else None
+            if found:
+                covered = found[0]
+                yield start, *found
                 break
 
 
-def _block(run: str) -> str:
-    """Lines of equal length and one last, shorter line, as keys are wrapped; what follows isn't part of it."""
-    lines = run.split("\n")
-    full = len(lines[0])
-    n = next((k for k, line in enumerate(lines) if len(line) != full), len(lines) - 1)
-    return "\n".join(lines[: n + (len(lines[n]) <= full)])
+def _lines(text: str, start: int, end: int) -> list[tuple[int, int, int]]:
+    """(start, end, end with padding) of the block's lines: lines of equal length and one last, shorter line, as keys are wrapped."""
+    lines, full = [], end - start
+    while True:
+        padded = end + (2 if text.startswith("==", end) else text.startswith("=", end))
+        lines.append((start, end, padded))
+        gap = LINE_END.match(text, end) if padded == end and end - start == full else None
+        line = LINE.match(text, gap.end()) if gap else None
+        if not line or len(line[0]) > full:
+            return lines
+        start, end = line.span()
+
+
+def _key_at(text: str, start: int, end: int) -> tuple[int, str] | None:
+    """(end, kind) of the key that begins at ``start`` and ends with a line; lengths inside the key tell with which one."""
+    for decode, bits in ((_unhex, 4), (_unbase64, 6)):
+        head = decode(text[start : start + HEAD]) or b""
+        public = any(head.startswith(len(t).to_bytes(4, "big") + t) for t in SSH_TYPES)
+        if not (head.startswith((b"\x30", OPENSSH)) or public):
+            continue
+        lines = _lines(text, start, end)
+        body = "".join(text[a:b] for a, b, _ in lines)
+        size = _der_size(head) if head[0] == SEQUENCE else None
+        if public:
+            usable = len(body) // 2 * 2 if bits == 4 else len(body) - (len(body) % 4 == 1)
+            ends = _field_ends(decode(body[:usable]) or b"")
+        chars = len(body)
+        for a, b, padded in reversed(lines):
+            fits = chars == -(-8 * size // bits) if size is not None else not public or chars * bits // 8 in ends
+            kind = _key_kind(decode(body[:chars])) if fits else None
+            if kind:
+                return padded, kind
+            chars -= b - a
+    return None
+
+
+def _der_size(head: bytes) -> int:
+    """Bytes of the outer value with its tag and length."""
+    n = head[1] & 127 if head[1] >= 128 else 0
+    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+
+
+def _field_ends(data: bytes) -> set[int]:
+    at, ends = 0, set()
+    while at + 4 <= len(data):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        ends.add(at)
+    return ends
 
 
 def _key_kind(data: bytes | None) -> str | None:
