@@ -57,3 +57,25 @@ def test_file_verdicts(spark, tmp_path):
         "fake.parquet": "not parquet: missing magic bytes", "p.csv": "parquet content in csv", "j.csv": "json content in csv",
     }
     assert readers.validate_files(spark, str(tmp_path), max_bytes=100).where("problem = 'too large'").count() == 1
+
+
+def test_no_length_is_refused_by_default(spark, tmp_path):
+    for name, data in {"big.json": b"[", "big.parquet": b"PAR1", "fake.parquet": b"a,b", "big.csv": b"a,b"}.items():
+        (tmp_path / name).write_bytes(data)
+        with open(tmp_path / name, "r+b") as f:
+            f.truncate((1 << 31) + 5)  # sparse
+    found = {r["file_name"]: (r["problem"], r["size_bytes"]) for r in readers.validate_files(spark, str(tmp_path)).collect()}
+    size = (1 << 31) + 5
+    assert found == {"big.json": ("", size), "big.parquet": ("", size), "fake.parquet": ("not parquet: missing magic bytes", size), "big.csv": ("", size)}
+    assert {r["problem"] for r in readers.validate_files(spark, str(tmp_path), max_bytes=1 << 31).collect()} == {"too large"}
+
+
+def test_opening_bytes_tell_what_the_whole_tells(spark, tmp_path, monkeypatch):
+    for name, data in {
+        "a b%20.json": b" " * 500 + b"{}", "far.json": b"\n" * (1 << 21) + b"[1]", "bad.json": b" " * 70 + b"a,b", "blank.json": b" " * 200,
+        "late.parquet": b" " * 64 + b"PAR1", "ok.parquet": b"PAR1" + bytes(100), "p.csv": b"PAR1xx", "j.csv": b"  [1]", "ok.csv": b"a,b\n", "x.exe": b"MZ",
+    }.items():
+        (tmp_path / name).write_bytes(data)
+    whole = rows(readers.validate_files(spark, str(tmp_path)))
+    monkeypatch.setattr(readers, "WHOLE_BYTES", -1)
+    assert rows(readers.validate_files(spark, str(tmp_path))) == whole and len(whole) == 10

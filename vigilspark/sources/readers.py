@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,9 @@ ACTIVITY_SCHEMA = (
     "records_modified bigint, sensitive_columns array<string>, export_size_bytes bigint, "
     "export_destination string, context map<string,string>"
 )
-#: What one value can hold; a larger file can't be looked into.
-MOST_BYTES = (1 << 31) - 1
+#: Files up to this size are looked into by tasks that read them whole; of a larger one only the opening bytes are read.
+WHOLE_BYTES = 16 << 20
+BLANK = b" \t\n\r\x0b\f"
 FEED_SCHEMA = (
     "ioc_type string, ioc_value string, classification string, threat_category string"
 )
@@ -94,17 +96,40 @@ def read_parquet_profile(spark: SparkSession, path: str) -> DataFrame:
 def validate_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """One verdict row per file below ``path``: extension, size, content versus extension.
 
-    Files are refused for their size only beyond ``max_bytes``, if given (uploads take ``UPLOAD_MAX_BYTES``).
+    Files are refused for their size only beyond ``max_bytes``, if given (uploads take ``UPLOAD_MAX_BYTES``);
+    those are not opened. The opening bytes of files beyond ``WHOLE_BYTES`` are read when this is called.
     """
-    max_bytes = MOST_BYTES if max_bytes is None else max_bytes
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    # the size filter is pushed into the source: files beyond the limit are never opened
-    small = files.where(F.col("length") <= max_bytes).select("path", "length", "content")
-    large = files.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"))
-    return file_verdicts(small.unionByName(large), max_bytes)
-
-
-def file_verdicts(files: DataFrame, max_bytes: int = fv.UPLOAD_MAX_BYTES) -> DataFrame:
+    length = F.col("length")
+    refused = F.lit(False) if max_bytes is None else length > max_bytes
+    # the size filter is pushed into the source, so larger files are not read here; without the content column no file is
+    small = files.where(length <= WHOLE_BYTES).where(~refused).select("path", "length", "content")
+    unopened = files.where(refused).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    large = [tuple(r) for r in files.where(length > WHOLE_BYTES).where(~refused).select("path", "length").collect()]
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    with ThreadPool(16) as pool:
+        opened = pool.map(lambda f: (*f, _opening_bytes(spark, conf, f[0])), large)
+    openings = spark.createDataFrame(opened, "path string, length bigint, content binary")
+    return file_verdicts(small.unionByName(unopened).unionByName(openings), max_bytes)
+
+
+def _opening_bytes(spark: SparkSession, conf, path: str) -> bytes:
+    """The first 64 bytes; if they are all blank, a blank and what follows the blanks. Read by Hadoop's client, from any store that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(conf).open(at)
+    try:
+        data = bytes(stream.readNBytes(64))
+        if data.strip(BLANK):
+            return data
+        while part := bytes(stream.readNBytes(1 << 20)):
+            if rest := part.lstrip(BLANK):
+                return b" " + rest[:63]
+        return data
+    finally:
+        stream.close()
+
+
+def file_verdicts(files: DataFrame, max_bytes: int | None = fv.UPLOAD_MAX_BYTES) -> DataFrame:
     name = F.element_at(F.split(F.regexp_replace("path", r"\\", "/"), "/"), -1)
     suffix = F.lower(F.when(name.rlike(r".\.[^.]+$"), F.substring_index(name, ".", -1)).otherwise(F.lit("")))
     # 64 bytes tell, unless they are all blank
@@ -115,7 +140,7 @@ def file_verdicts(files: DataFrame, max_bytes: int = fv.UPLOAD_MAX_BYTES) -> Dat
     json_like = opening.isin("{", "[")
     problem = (
         F.when(~suffix.isin(*fv.UPLOAD_EXTENSIONS), "unsupported extension")
-        .when(F.col("length") > max_bytes, "too large")
+        .when(F.lit(False) if max_bytes is None else F.col("length") > max_bytes, "too large")
         .when(F.col("length") == 0, "empty")
         .when((suffix == "parquet") & ~magic, "not parquet: missing magic bytes")
         .when(suffix.isin("json", "jsonl") & ~json_like, "not json")
