@@ -68,6 +68,19 @@ def test_offending_sentences_are_located(spark):
         assert bool(spans) == (row["doc_id"] % 2 == 1 and row["doc_id"] < 90) and all("vile" in s for s in spans) and len(spans) <= 1
 
 
+def test_weaker_sentences_are_located_together(spark):
+    weights = np.zeros(toxicity.BINS)
+    for word, p in (("mean", 0.2), ("bad", 0.18), ("vile", 0.6)):
+        weights[toxicity.features(word)[0]] = np.log(p / (1 - p)) + 6
+    bins = np.flatnonzero(weights)
+    texts = ["it is mean. calm day. it is bad. calm", "it is mean. calm day", "it is mean. so vile. it is bad", "calm", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, (bins, weights[bins], -6.0)).collect()}
+    assert [rows[k]["score"] >= 0.3 for k in range(6)] == [True, False, True, False, False, False]
+    located = [[(texts[k] or "")[s["start"] : s["end"]].strip() for s in rows[k]["offending"]] for k in range(6)]
+    assert located == [["it is mean", "it is bad"], [], ["so vile"], [], [], []]
+
+
 def test_frequencies_and_samples(spark):
     docs = spark.createDataFrame([(i, "ab" if i % 2 else "zz zz", "x" if i % 2 else "y") for i in range(50)] + [(60, "lost", None), (None, "lost", "x"), (61, None, "x")], "doc_id bigint, text string, lang string")
     found, total = language.document_frequencies(docs.where("doc_id < 50"))

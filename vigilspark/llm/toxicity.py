@@ -120,13 +120,23 @@ class Scorer:
         return -math.expm1(-total)
 
     def offending(self, text: str, least: float) -> list[dict]:
-        """Sentences whose own probability reaches ``least``: start and end (code points) and the probability."""
-        found = []
+        """Sentences whose own probability reaches ``least``: start and end (code points) and the probability.
+
+        If none does, the most probable ones, as many as reach it together (noisy-or), or all.
+        """
+        every = []
         for m in SENTENCE.finditer(text):
             p = 1 / (1 + math.exp(-max(min(self.sentence(m[0]), 700.0), -700.0)))
-            if p >= least:
-                found.append({"start": m.start(), "end": m.end(), "score": p})
-        return found
+            every.append({"start": m.start(), "end": m.end(), "score": p})
+        found = [s for s in every if s["score"] >= least]
+        if not found:
+            none = 1.0
+            for s in sorted(every, key=lambda s: -s["score"]):
+                found.append(s)
+                none *= 1 - s["score"]
+                if 1 - none >= least:
+                    break
+        return sorted(found, key=lambda s: s["start"])
 
 
 _SCORERS: dict[bytes, Scorer] = {}
@@ -145,7 +155,8 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, hold_of: int = 4, held: i
 
 
 def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Per row: doc_id, score (0 to 1), offending (sentences whose own score reaches ``threshold``).
+    """Per row: doc_id, score (0 to 1), offending (of texts whose score reaches ``threshold``, the sentences
+    whose own score reaches it, or else the most probable ones that reach it together).
 
     A null text is the empty text: one sentence without words, so the bias alone scores it. Rows are
     kept as they come, repeated and null ids included; other columns are ignored. Nothing is
