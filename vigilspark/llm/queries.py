@@ -12,10 +12,13 @@ from .byte_bpe import encode_and_decode
 from .common import read, remainder
 from .decontaminate import ALIKE, RUN, overlaps
 from .language import identify, language_model
+from .lexical import ranked_search
+from .mixing import MOST, mix_plan
 from .quality import CUT, quality_model, score_quality
 from .records import read_records, record_digests, records_folder, write_records
 from .secrets import find_secrets
 from .simhash import simhash_components
+from .spelling import variant_groups, word_counts
 from .token_counts import token_counts
 from .toxicity import score_toxicity, toxicity_model
 from .winnowing import compare_edited
@@ -81,6 +84,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_groups(word_counts(read(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_winnowing": op1_winnowing,
@@ -93,6 +108,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_secrets": op9_secrets,
         "op10_token_counts": op10_token_counts,
+        "op11_mixing": op11_mixing,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_spelling": op13_spelling,
     }
 
 
@@ -114,5 +132,36 @@ SELECT doc_id, item_id, CAST(greatest(shift, 0) AS INTEGER) AS doc_word, CAST(gr
   CAST(least(n, dn - shift) - greatest(-shift, 0) AS INTEGER) AS n_words, CAST(n_equal AS INTEGER) AS n_equal, n_places FROM b"""
 
 
+#: Sources that fill up are a prefix in the order of size over weight, so one pass finds the level.
+MIX_SQL = f"""
+WITH d AS (SELECT doc_id, text, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM s),
+t AS (SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights FROM w),
+o AS (SELECT *, total - {MOST} * coalesce(sum(source_size) OVER before, 0) AS rest, weights - coalesce(sum(weight) OVER before, 0) AS shares FROM t
+  WINDOW before AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, {MOST} * source_size * shares <= weight * rest AS full_up FROM o),
+l AS (SELECT any_value(total) - {MOST} * coalesce(sum(source_size) FILTER (full_up), 0) AS rest, any_value(weights) - coalesce(sum(weight) FILTER (full_up), 0) AS shares FROM f),
+g AS (SELECT source, source_size, CASE WHEN full_up THEN CAST({MOST} * source_size AS DOUBLE) ELSE CAST(weight * l.rest AS DOUBLE) / l.shares END AS target FROM f, l),
+r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN least(target / source_size, {MOST}.0) ELSE 0.0 END AS rate,
+  CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13) AS BIGINT) / 4503599627370496.0 AS draw
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, size * CAST(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken FROM r"""
+
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+SEARCH_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS t FROM documents WHERE text IS NOT NULL),
+c AS (SELECT r, doc_id, len(t) AS n, t FROM d WHERE len(t) > 0),
+a AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM c),
+i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+o AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM c) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM o, a GROUP BY term, n_docs),
+m AS (SELECT r, doc_id, 50 + (50 * n * n_docs) // n_terms AS m FROM c, a),
+s AS (SELECT item_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM i JOIN f USING (term) JOIN o USING (term) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM s JOIN m USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OVERLAPS_SQL}
+    return {"op5_decontamination": OVERLAPS_SQL, "op11_mixing": MIX_SQL, "op12_lexical_search": SEARCH_SQL}
