@@ -1,22 +1,19 @@
 """Case and response logs.
 
 A requested status is accepted or not depending on all earlier decisions, so a log is
-replayed per case. The replay is split by time: a stretch of a log acts on the state as a
-small table (start state -> end state), and tables compose. So a case with a very long log
-is worked on in many tasks: one per (case, stretch), then one small table per stretch in
-order, then every stretch again with its known start state.
+replayed per case, as a parallel prefix (``replay.py``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import redact, short_id
+from .replay import replay
 
 # --- L01 seed ---------------------------------------------------------------------------
 
@@ -111,85 +108,30 @@ CASE_MACHINE = Machine(fv.CASE_TRANSITIONS, "open", True, True)
 RESPONSE_MACHINE = Machine(fv.RESPONSE_TRANSITIONS, "proposed", False, False)
 
 
-def _coded(changes: DataFrame, machine: Machine, stretch_seconds: int) -> DataFrame:
+def _coded(changes: DataFrame, machine: Machine) -> DataFrame:
     request = F.lower(F.trim("requested_status"))
     if machine.resolution:
         summary = redact(F.coalesce("summary", F.lit("")), "case", 3000)
         request = F.when(request == "resolve", F.when(summary != "", "resolve").otherwise("resolve_without_summary")).otherwise(request)
     code = F.array_position(F.array(*[F.lit(c) for c in machine.codes]), request) - 1
-    return changes.withColumn("code", code.cast("int")).withColumn(
-        "stretch", F.floor(F.unix_micros("ts") / (stretch_seconds * 1_000_000))
-    )
+    return changes.select("entity_id", "ts", "seq", "requested_status", F.coalesce(code, F.lit(-1)).cast("int").alias("code"))
 
 
-def replay_log(
-    changes: DataFrame, machine: Machine, stretch_seconds: int = 86400
-) -> tuple[DataFrame, DataFrame]:
+def replay_log(changes: DataFrame, machine: Machine) -> tuple[DataFrame, DataFrame]:
     """(every request with old status, new status and verdict; end status per entity).
 
     ``changes``: entity_id, ts, seq, requested_status and, for cases, summary. ``seq``
-    orders requests of the same moment. Unknown statuses are rejected.
+    orders requests of the same moment. Unknown statuses, null included, are rejected.
     """
     width = len(machine.codes)
-    coded = _coded(changes, machine, stretch_seconds)
-    table = F.array(*[F.lit(n) for n in machine.next])
-
-    def run(start: Column, codes: Column) -> Column:
-        return F.aggregate(
-            codes, start,
-            lambda s, c: F.when(c >= 0, F.get(table, s * width + c)).otherwise(s),
-        )
-
-    stretches = (
-        coded.groupBy("entity_id", "stretch")
-        .agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "code")))["code"].alias("codes"))
-        .select("entity_id", "stretch", F.array(*[run(F.lit(s), F.col("codes")) for s in machine.states]).alias("act"))
-    )
-    # one small row per stretch: the start state of each is the state after all earlier ones
-    ordered = stretches.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("stretch", "act"))).alias("acts"))
-    walked = ordered.select(
-        "entity_id",
-        F.aggregate(
-            "acts",
-            F.struct(F.lit(machine.start).alias("state"), F.array().cast("array<int>").alias("starts")),
-            lambda a, x: F.struct(
-                F.get(x["act"], a["state"]).alias("state"), F.array_append(a["starts"], a["state"]).alias("starts")
-            ),
-        ).alias("walk"),
-        "acts",
-    )
-    starts = walked.select(
-        "entity_id", F.explode(F.arrays_zip(F.col("acts.stretch").alias("stretch"), F.col("walk.starts").alias("start"))).alias("z")
-    ).select("entity_id", "z.*")
-    nxt, verdicts = machine.next, machine.verdict
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"], kind="stable")
-        state = int(pdf["start"].iloc[0])
-        old, new, said = [], [], []
-        for code in pdf["code"]:
-            at = state * width + int(code) if code is not None and code >= 0 else -1
-            old.append(state)
-            said.append(verdicts[at] if at >= 0 else "rejected")
-            state = nxt[at] if at >= 0 else state
-            new.append(state)
-        return pdf[["entity_id", "ts", "seq", "requested_status"]].assign(old=old, new=new, verdict=said)
-
-    decided = (
-        coded.select("entity_id", "stretch", "ts", "seq", "requested_status", "code").na.fill(-1, ["code"])
-        .join(starts, ["entity_id", "stretch"])
-        .groupBy("entity_id", "stretch")
-        .applyInPandas(
-            follow,
-            "entity_id string, ts timestamp, seq bigint, requested_status string, old int, new int, verdict string",
-        )
-        .select(
-            "entity_id", "ts", "seq", "requested_status", machine.status_of(F.col("old")).alias("old_status"),
-            machine.status_of(F.col("new")).alias("new_status"), "verdict",
-        )
+    done = replay(_coded(changes, machine), "entity_id", ["ts", "seq", "code"], "code", machine.next, width, machine.start)
+    verdicts = F.array(*[F.lit(v) for v in machine.verdict])
+    verdict = F.when(F.col("code") >= 0, F.get(verdicts, F.col("_old") * width + F.col("code"))).otherwise("rejected")
+    decided = done.rows.select(
+        "entity_id", "ts", "seq", "requested_status", machine.status_of(F.col("_old")).alias("old_status"),
+        machine.status_of(F.col("_new")).alias("new_status"), verdict.alias("verdict"),
     )
-    final = walked.select("entity_id", machine.status_of(F.col("walk.state")).alias("status"))
-    return decided, final
+    return decided, done.final.select("entity_id", machine.status_of(F.col("state")).alias("status"))
 
 
 def validate_case_transitions(changes: DataFrame) -> DataFrame:
@@ -214,8 +156,8 @@ def current_state(changes: DataFrame, machine: Machine = CASE_MACHINE) -> DataFr
 
 
 def resolutions(changes: DataFrame, decided: DataFrame) -> DataFrame:
-    """Resolution per case: the last accepted resolve request."""
-    kept = decided.where("requested_status = 'resolve' and verdict = 'accepted'").select("entity_id", "ts", "seq")
+    """Resolution per case, that of the last accepted resolve request; cases without one give no row."""
+    kept = decided.where("lower(trim(requested_status)) = 'resolve' and verdict = 'accepted'").select("entity_id", "ts", "seq")
     return changes.join(kept, ["entity_id", "ts", "seq"]).groupBy("entity_id").agg(
         F.max_by(
             F.struct(redact(F.col("summary"), "case", 3000).alias("summary"), F.col("actor").alias("resolved_by"), F.col("ts").alias("resolved_at")),
