@@ -26,7 +26,7 @@ def test_audit_is_appended_once(spark, tmp_path):
 @pytest.mark.parametrize("text", ["[{\"a\":1},{\"a\":2}]", "\n" * 6000 + "  [{\"a\":1},{\"a\":2}]", "{\"a\":1}\n{\"a\":2}\n", "﻿\n {\"a\":1}\n{\"a\":2}"])
 def test_json_is_told_by_its_first_character(spark, tmp_path, text):
     (tmp_path / "x.json").write_text(text)
-    found = {r[0] for r in readers._first_characters(spark, str(tmp_path)).collect()}
+    found = {r["first"] for r in readers._heads(spark, str(tmp_path)).collect()}
     assert found == {text.strip("﻿ \n")[0]}
     if not text.startswith("﻿"):
         assert readers.read_json_auto(spark, str(tmp_path)).select("a").orderBy("a").collect() == [(1,), (2,)]
@@ -74,8 +74,29 @@ def test_opening_bytes_tell_what_the_whole_tells(spark, tmp_path, monkeypatch):
     for name, data in {
         "a b%20.json": b" " * 500 + b"{}", "far.json": b"\n" * (1 << 21) + b"[1]", "bad.json": b" " * 70 + b"a,b", "blank.json": b" " * 200,
         "late.parquet": b" " * 64 + b"PAR1", "ok.parquet": b"PAR1" + bytes(100), "p.csv": b"PAR1xx", "j.csv": b"  [1]", "ok.csv": b"a,b\n", "x.exe": b"MZ",
+        "_hidden.csv": b"a", "none.json": b"",
     }.items():
         (tmp_path / name).write_bytes(data)
-    whole = rows(readers.validate_files(spark, str(tmp_path)))
-    monkeypatch.setattr(readers, "WHOLE_BYTES", -1)
-    assert rows(readers.validate_files(spark, str(tmp_path))) == whole and len(whole) == 10
+    columns = ["file_name", "extension", "size_bytes", "accepted", "problem"]
+    heads = rows(readers.validate_files(spark, str(tmp_path)), *columns)
+    firsts = rows(readers._heads(spark, str(tmp_path)).where("first <> ''"), "first", "whole_line")
+    monkeypatch.setattr(readers, "file_heads", lambda *_: None)  # as for a store that only Spark reads
+    assert rows(readers.validate_files(spark, str(tmp_path)), *columns) == heads and len(heads) == 11
+    assert rows(readers._heads(spark, str(tmp_path)).where("first <> ''"), "first", "whole_line") == firsts
+
+
+@pytest.mark.parametrize("text, whole", [
+    ('{"a": 1}\n{"a": 2}\n', True), ('{"a": 1}', True), ('{\n"a": 1}', False), ('\n\n {"a": "}\\"{", "b": [\n1]}', False), ('{"a": "\\\\"}\r\n{"a": ""}', True),
+])
+def test_lines_or_one_object(spark, tmp_path, text, whole):
+    (tmp_path / "x.json").write_text(text)
+    assert [r["whole_line"] for r in readers._heads(spark, str(tmp_path)).collect()] == [whole]
+    assert readers.read_json_auto(spark, str(tmp_path)).where("a is not null").count() == text.count('"a"')
+
+
+def test_malformed_json_fails_or_is_kept(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"a": 1}\n{"a": }\n{"a": 3}\n')
+    with pytest.raises(ValueError, match="Malformed"):
+        readers.read_json_auto(spark, str(tmp_path))
+    kept = readers.read_json_auto(spark, str(tmp_path), on_error="keep").cache()
+    assert kept.count() == 3 and kept.where("_corrupt_record is not null").count() == 1

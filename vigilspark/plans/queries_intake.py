@@ -50,6 +50,21 @@ def _(ws):
     return S.validate_files(ws.spark, ws.sf_dir).drop("path")
 
 
+@query("s04_file_verdicts", """SELECT * FROM (VALUES ('csv', true, ''), ('csv', false, 'json content in csv'), ('json', true, ''), ('json', false, 'not json'),
+  ('parquet', true, ''), ('txt', false, 'unsupported extension')) AS t(extension, accepted, problem)""")
+def _(ws):
+    # tables written as what they are, as something else, and with nothing in them
+    nations, regions = ws.table("nation").select("n_nationkey", "n_name"), ws.table("region").select("r_name")
+    as_json, folder = nations.select(F.to_json(F.struct("*")).alias("value")), f"{stage_root(ws.spark).rstrip('/')}/verdicts-{uuid.uuid4().hex}"
+    for k, (df, fmt, options) in enumerate([
+        (nations, "csv", {"header": True}), (as_json, "csv", {"header": False, "quote": "", "sep": "\t"}), (nations, "json", {}), (nations, "parquet", {}),
+        (regions, "text", {}),
+    ]):
+        df.write.options(**options).format(fmt).save(f"{folder}/{k}")
+    regions.select(F.lit("a,b").alias("value")).write.option("extension", "json").format("csv").save(f"{folder}/9")
+    return S.validate_files(ws.spark, folder).where("problem <> 'empty'").select("extension", "accepted", "problem").distinct()
+
+
 WAZUH = """
 SELECT event_id AS n, CASE WHEN event_id%10=9 THEN NULL ELSE 'w'||event_id END AS id, ts, event_id%17 AS lvl, 'rule text '||event_type AS descr,
   CASE event_type WHEN 'error' THEN ['syslog','Authentication_Failed'] WHEN 'click' THEN ['process'] WHEN 'view' THEN ['firewall'] WHEN 'signup' THEN ['sudo'] ELSE ['other'] END AS groups,

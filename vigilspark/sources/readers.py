@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from multiprocessing.pool import ThreadPool
+from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..operators.normalize import WAZUH_SCHEMA
+from .heads import file_heads
 
 ACTIVITY_SCHEMA = (
     "activity_id string, timestamp timestamp, dataset_id string, dataset_name string, operation string, "
@@ -17,9 +21,6 @@ ACTIVITY_SCHEMA = (
     "records_modified bigint, sensitive_columns array<string>, export_size_bytes bigint, "
     "export_destination string, context map<string,string>"
 )
-#: Files up to this size are looked into by tasks that read them whole; of a larger one only the opening bytes are read.
-WHOLE_BYTES = 16 << 20
-BLANK = b" \t\n\r\x0b\f"
 FEED_SCHEMA = (
     "ioc_type string, ioc_value string, classification string, threat_category string"
 )
@@ -41,51 +42,45 @@ def read_csv_headered(spark: SparkSession, path: str, multi_line: bool = False)
     return df.na.fill("")
 
 
-def _first_characters(spark: SparkSession, path: str) -> DataFrame:
-    """First character of every file that is not white space, wherever it is; files are read as lines and split."""
-    lines = spark.read.text(path).select(
-        F.substring(F.regexp_replace("value", r"^[\s\x{FEFF}]+", ""), 1, 1).alias("c"), F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"),
+def _heads(spark: SparkSession, path: str) -> DataFrame:
+    """Openings of all files; of a store that only Spark reads, by its whole files, empty ones from its listing."""
+    found = file_heads(spark, path)
+    if found is not None:
+        return found
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    # the listing has encoded addresses, the source plain ones with fewer slashes
+    listed = spark.createDataFrame([(re.sub(r"^(\w+):/+", r"\1:/", unquote(f)),) for f in files.inputFiles()], "path string")
+    files = files.withColumn("path", F.regexp_replace("path", r"^(\w+):/+", "$1:/"))
+    nothing = F.lit("").cast("binary")
+    empty = listed.join(files.select("path"), "path", "left_anti").select("path", F.lit(0).cast("bigint").alias("length"), nothing.alias("content"))
+    line = F.regexp_replace(F.decode("content", "ISO-8859-1"), r"^(\x{EF}\x{BB}\x{BF})?[ \t\n\r\x0b\f]+", "")
+    return files.select("path", "length", "content").unionByName(empty).withColumn("first", F.substring(line, 1, 1)).withColumn(
+        # a closing bracket at the end of the first line
+        "whole_line", F.when(F.col("first") == "{", F.rtrim(F.split(line, r"[\r\n]", 2)[0]).endswith("}"))
     )
-    return lines.where("c <> ''").groupBy("file").agg(F.min_by("c", "at").alias("c")).select("c")
 
 
 def read_json_auto(spark: SparkSession, path: str, on_error: str = "raise", single: str = "auto") -> DataFrame:
-    """JSON array, single object or JSON Lines, told apart by the first character.
+    """JSON array, single object or JSON Lines, told apart by the files' openings; the data are read once for the schema.
 
     A malformed row makes the whole read fail (``on_error="raise"``) or is kept in
     ``_corrupt_record`` (``"keep"``). ``single`` says whether ``{`` files hold one object
-    (``"object"``), lines (``"lines"``) or whichever parses (``"auto"``).
+    (``"object"``), lines (``"lines"``) or are told by their first line (``"auto"``): lines if its brackets are all closed.
     """
-    found = {r[0] for r in _first_characters(spark, path).distinct().limit(3).collect()}
-    if not found or not found <= {"[", "{"}:
+    found = {(r["first"], r["whole_line"]) for r in _heads(spark, path).where("first <> ''").select("first", "whole_line").distinct().limit(4).collect()}
+    firsts = {first for first, _ in found}
+    if not firsts or not firsts <= {"[", "{"}:
         raise ValueError("File does not appear to be valid JSON (expected object or array)")
-    corrupt = "_corrupt_record"
-
-    def load(multi: bool) -> DataFrame:
-        return (
-            spark.read.option("multiLine", multi).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", corrupt).json(path)
-        )
-
-    def broken(df: DataFrame) -> bool:
-        if corrupt not in df.columns:
-            return False
-        return df.columns == [corrupt] or bool(df.where(F.col(corrupt).isNotNull()).limit(1).collect())
-
-    if "[" in found or single == "object":
-        df = load(True)
-    elif single == "lines":
-        df = load(False)
-    else:
-        df = load(False)
-        if broken(df):
-            whole = load(True)
-            if not broken(whole):
-                df = whole
-    if on_error == "raise" and corrupt in df.columns and broken(df):
-        raise ValueError("Malformed JSON")
-    return df
+    whole = "[" in firsts or single == "object" or (single == "auto" and any(line is False for _, line in found))
+    reader = spark.read.option("multiLine", whole)
+    if on_error != "raise":
+        return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    try:
+        return reader.option("mode", "FAILFAST").json(path)
+    except (PySparkException, Py4JJavaError) as error:  # the schema is inferred by a job, whose error comes as it is
+        if "MALFORMED_RECORD" not in str(error):
+            raise
+        raise ValueError("Malformed JSON") from error
 
 
 def read_parquet_profile(spark: SparkSession, path: str) -> DataFrame:
@@ -94,39 +89,12 @@ def read_parquet_profile(spark: SparkSession, path: str) -> DataFrame:
 
 
 def validate_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
-    """One verdict row per file below ``path``: extension, size, content versus extension.
+    """One verdict row per file below ``path``, empty ones included: extension, size, content versus extension.
 
-    Files are refused for their size only beyond ``max_bytes``, if given (uploads take ``UPLOAD_MAX_BYTES``);
-    those are not opened. The opening bytes of files beyond ``WHOLE_BYTES`` are read when this is called.
+    Files are refused for their size only beyond ``max_bytes``, if given (uploads take ``UPLOAD_MAX_BYTES``).
+    Tasks read a file's opening bytes only.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    length = F.col("length")
-    refused = F.lit(False) if max_bytes is None else length > max_bytes
-    # the size filter is pushed into the source, so larger files are not read here; without the content column no file is
-    small = files.where(length <= WHOLE_BYTES).where(~refused).select("path", "length", "content")
-    unopened = files.where(refused).select("path", "length", F.lit(None).cast("binary").alias("content"))
-    large = [tuple(r) for r in files.where(length > WHOLE_BYTES).where(~refused).select("path", "length").collect()]
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    with ThreadPool(16) as pool:
-        opened = pool.map(lambda f: (*f, _opening_bytes(spark, conf, f[0])), large)
-    openings = spark.createDataFrame(opened, "path string, length bigint, content binary")
-    return file_verdicts(small.unionByName(unopened).unionByName(openings), max_bytes)
-
-
-def _opening_bytes(spark: SparkSession, conf, path: str) -> bytes:
-    """The first 64 bytes; if they are all blank, a blank and what follows the blanks. Read by Hadoop's client, from any store that Spark reads."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    stream = at.getFileSystem(conf).open(at)
-    try:
-        data = bytes(stream.readNBytes(64))
-        if data.strip(BLANK):
-            return data
-        while part := bytes(stream.readNBytes(1 << 20)):
-            if rest := part.lstrip(BLANK):
-                return b" " + rest[:63]
-        return data
-    finally:
-        stream.close()
+    return file_verdicts(_heads(spark, path).select("path", "length", "content"), max_bytes)
 
 
 def file_verdicts(files: DataFrame, max_bytes: int | None = fv.UPLOAD_MAX_BYTES) -> DataFrame:
