@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,58 +86,50 @@ def is_float_text(value: Column) -> Column:
     )
 
 
-def cells(df: DataFrame, row_no: Column | None = None) -> DataFrame:
-    """Long form: (row_no, position, name, value); values as text."""
-    names = [c for c in df.columns if c != "_row_no"]
-    pairs = F.array(*[
-        F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("value"))
-        for i, c in enumerate(names)
-    ])
-    number = F.col("_row_no") if row_no is None else row_no
-    return df.select(number.alias("row_no"), F.explode(pairs).alias("c")).select("row_no", "c.*")
-
-
 def numbered_sample(df: DataFrame, order_by: Sequence[str], rows: int = fv.SAMPLE_ROWS) -> DataFrame:
     """First rows in an explicit order, numbered. At most ``rows`` rows reach one task."""
     order = [F.col(c) for c in order_by]
     return df.orderBy(*order).limit(rows).withColumn("_row_no", F.row_number().over(Window.orderBy(*order)))
 
 
-def column_facts(long: DataFrame, sample_values: int | None = fv.SAMPLE_VALUES) -> DataFrame:
-    """Statistics, type and value class per column.
+def column_facts(df: DataFrame, row_no: Column, sample_values: int | None = fv.SAMPLE_VALUES) -> DataFrame:
+    """Statistics, type and value class per column (P02-P04): (position, name, sampled_rows, null_ratio, ...).
 
-    Equal values of a column are merged first, with map-side combining, so a column with a
-    dominant value costs no more than any other. ``sample_values`` limits value
-    classification to the first non-empty values; None looks at all of them.
+    One aggregate over all columns side by side, whose partial results are one row a task: no value leaves
+    its task. Distinct values are counted by 8-byte hashes per column, merged before they
+    are shuffled by column and hash, so neither a wide table nor a dominant value is one task's.
+    ``sample_values`` limits value classification to the first non-empty values in the order of
+    ``row_no``, for samples that fit in a task; None looks at all of them.
     """
-    text = strip(F.col("value"))
-    merged = (
-        long.withColumn("text", F.when(text != "", text))
-        .groupBy("position", "name", "text").agg(F.count("*").alias("n"), F.min("row_no").alias("row_no"))
-    )
-    facts = merged.groupBy("position", "name").agg(
-        F.sum("n").alias("sampled_rows"),
-        F.coalesce(F.sum(F.when(F.col("text").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
-        F.count("text").alias("unique_values"),
-        F.coalesce(F.bool_and(is_integer_text(F.col("text"))), F.lit(False)).alias("all_int"),
-        F.coalesce(F.bool_and(is_float_text(F.col("text"))), F.lit(False)).alias("all_float"),
-    )
-    looked = merged.where("text is not null")
+    names = [c for c in df.columns if c != "_row_no"]
+    text = [strip(F.col(f"`{c}`").cast("string")) for c in names]
+    wide = df.select(row_no.alias("at"), *[F.when(t != "", t).alias(f"t{i}") for i, t in enumerate(text)])
     if sample_values is not None:
-        # repeated values count towards the limit, so rank rows, not distinct values
-        first = long.withColumn("text", F.when(text != "", text)).where("text is not null").withColumn(
-            "rank", F.row_number().over(Window.partitionBy("position", "name").orderBy("row_no"))
-        )
-        looked = first.where(F.col("rank") <= sample_values)
-    by_value = (
-        looked.withColumn("kind", classify_value(F.col("text"))).where("kind is not null")
-        .groupBy("position", "name").agg(F.min_by("kind", "row_no").alias("value_kind"))
+        upto = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+        wide = wide.select("*", *[F.count(f"t{i}").over(upto).alias(f"r{i}") for i in range(len(names))])
+    facts = [F.count("*").alias("rows")]
+    for i in range(len(names)):
+        value = F.col(f"t{i}")
+        kind = classify_value(value)
+        looked = kind.isNotNull() if sample_values is None else kind.isNotNull() & (F.col(f"r{i}") <= sample_values)
+        facts.append(F.struct(
+            F.count(value).alias("filled"),
+            F.coalesce(F.bool_and(is_integer_text(value)), F.lit(False)).alias("all_int"),
+            F.coalesce(F.bool_and(is_float_text(value)), F.lit(False)).alias("all_float"),
+            F.min_by(kind, F.when(looked, F.col("at"))).alias("value_kind"),
+        ).alias(f"f{i}"))
+    columns = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"), F.col(f"f{i}").alias("f")) for i, c in enumerate(names)])
+    found = wide.agg(*facts).select("rows", F.explode(columns).alias("c")).select("rows", "c.position", "c.name", "c.f.*")
+    hashes = F.array(*[F.struct(F.lit(i).alias("its"), F.when(F.col(f"t{i}").isNotNull(), F.xxhash64(f"t{i}")).alias("hash")) for i in range(len(names))])
+    distinct = (
+        wide.select(F.explode(hashes).alias("h")).select("h.*").where("hash is not null").distinct()
+        .groupBy("its").agg(F.count("*").alias("unique_values"))
     )
-    filled = F.col("sampled_rows") - F.col("nulls")
-    return facts.join(by_value, ["position", "name"], "left").select(
-        "position", "name", "sampled_rows",
-        F.round(F.col("nulls") / F.col("sampled_rows"), 4).alias("null_ratio"),
-        F.when(filled > 0, F.round(1 - F.col("unique_values") / filled, 4)).otherwise(0.0).alias("duplicate_ratio"),
+    unique = F.coalesce("unique_values", F.lit(0))
+    return found.where("rows > 0").join(distinct, F.col("position") == F.col("its"), "left").select(
+        "position", "name", F.col("rows").alias("sampled_rows"),
+        F.round(1 - F.col("filled") / F.col("rows"), 4).alias("null_ratio"),
+        F.when(F.col("filled") > 0, F.round(1 - unique / F.col("filled"), 4)).otherwise(0.0).alias("duplicate_ratio"),
         F.when(F.col("all_int"), "integer").when(F.col("all_float"), "float").otherwise("string").alias("inferred_type"),
         "value_kind",
     )
@@ -148,14 +141,13 @@ def profile_columns(
 ) -> DataFrame:
     """Column profiles of one dataset. ``sample_rows=None`` scans everything."""
     if sample_rows is None:
-        long = cells(df, F.struct(*order_by))
-        sample_values = None
+        facts = column_facts(df, F.struct(*order_by), None)
     else:
-        long = cells(numbered_sample(df, order_by, sample_rows))
+        facts = column_facts(numbered_sample(df, order_by, sample_rows), F.col("_row_no"), sample_values)
     declared = {f.name: type_name(f.dataType) for f in df.schema.fields}
     types = F.create_map(*[F.lit(x) for kv in declared.items() for x in kv])
     kind = F.coalesce(classify_column_name(F.col("name")), F.col("value_kind"))
-    return column_facts(long, sample_values).select(
+    return facts.select(
         "position", "name",
         (types[F.col("name")] if declared_types else F.col("inferred_type")).alias("data_type"),
         kind.isNotNull().alias("is_sensitive"),
@@ -172,27 +164,40 @@ def level_rank(level: Column) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in LEVELS]), level)
 
 
+def file_bytes(df: DataFrame) -> DataFrame:
+    """One row with the summed size of the files that ``df`` reads; 0 where it reads none or none is left in its plan."""
+    try:
+        files = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+    except AnalysisException:
+        return df.groupBy().agg(F.lit(0).cast("bigint").alias("size_bytes"))
+    return files.groupBy("file").agg(F.max("bytes").alias("bytes")).agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("size_bytes"))
+
+
 def profile_dataset(
     df: DataFrame, file_name: str, fmt: str, order_by: Sequence[str], sample_rows: int | None = fv.SAMPLE_ROWS,
-    size_bytes: int = 0, name: str | None = None,
+    size_bytes: int | None = None, name: str | None = None,
 ) -> DataFrame:
-    """One catalog row for a dataset, its columns nested (bounded by the schema's width)."""
+    """One catalog row for a dataset, its columns nested (bounded by the schema's width).
+
+    ``size_bytes`` defaults to the size of the files that ``df`` reads.
+    """
     columns = profile_columns(df, order_by, sample_rows, declared_types=fmt == "parquet")
     column = F.struct(
         "position", "name", "data_type", "is_sensitive", "pii_type", "sensitivity", "null_ratio", "duplicate_ratio",
     )
     nested = columns.groupBy().agg(F.array_sort(F.collect_list(column)).alias("columns"))
     counted = df.groupBy().agg(F.count("*").alias("record_count"))
+    sized = file_bytes(df) if size_bytes is None else counted.select(F.lit(size_bytes).cast("bigint").alias("size_bytes"))
     by_name = F.array_sort(F.transform("columns", lambda c: F.struct(c["name"].alias("name"), c["data_type"].alias("type"))))
     signature = F.array_join(F.transform(by_name, lambda c: F.concat(c["name"], F.lit(":"), c["type"])), ":")
     stem = file_name.rsplit(".", 1)[0]
     return (
-        nested.withColumn("k", F.lit(1)).join(counted.withColumn("k", F.lit(1)), "k").drop("k")
+        nested.withColumn("k", F.lit(1)).join(counted.withColumn("k", F.lit(1)), "k").join(sized.withColumn("k", F.lit(1)), "k").drop("k")
         .withColumn("schema_hash", short_id("", signature))
         .select(
             short_id("ds-", F.lit(file_name), ":", F.col("schema_hash"), length=12).alias("dataset_id"),
             F.lit(name or stem).alias("name"), F.lit(fmt).alias("format"), F.lit("not-persisted").alias("file_path"),
-            F.lit(size_bytes).cast("bigint").alias("size_bytes"), "record_count",
+            "size_bytes", "record_count",
             F.size("columns").alias("column_count"), "columns",
             F.transform(F.filter("columns", lambda c: c["is_sensitive"]), lambda c: c["name"]).alias("sensitive_columns"),
             F.element_at(
@@ -205,11 +210,12 @@ def profile_dataset(
 
 
 def profile_catalog(assets: Sequence[DataFrame]) -> DataFrame:
-    """Catalog of many datasets; one row per dataset id."""
+    """Catalog of many datasets; one row per dataset id, of equal ids the first by name, format, records and size."""
     catalog = assets[0]
     for asset in assets[1:]:
         catalog = catalog.unionByName(asset)
-    return catalog.dropDuplicates(["dataset_id"])
+    first = F.min_by(F.struct("*"), F.struct("name", "format", "record_count", "size_bytes"))
+    return catalog.groupBy("dataset_id").agg(first.alias("row")).select("row.*")
 
 
 def catalog_columns(catalog: DataFrame) -> DataFrame:
