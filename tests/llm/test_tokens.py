@@ -47,7 +47,34 @@ def test_byte_bpe_equals_the_library(ranks, reference):
         ids = codec.encode(text)
         assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(text), text[:40]
         assert codec.decode(ids) == text.encode()
-    assert not codec.bucket and not codec.more and not any(codec.low)  # the queue ends empty
+    assert not codec.bucket and not any(codec.low)  # the queue ends empty
+    every = texts() + long
+    assert codec.encode_many(every) == [codec.encode(t) for t in every]
+
+
+def test_a_long_text_is_split_in_parts(ranks, reference, monkeypatch):
+    monkeypatch.setattr("vigilspark.llm.byte_bpe.PART", 50)
+    monkeypatch.setattr("vigilspark.llm.byte_bpe.LONG", 30)
+    codec = Codec(ranks, P.PATTERN)
+    draw = random.Random(9)
+    for text in ["".join(draw.choices(PARTS, k=300)) for _ in range(60)] + ["a b " * 100, "x" * 400, " \n a" * 90]:
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == reference.encode_ordinary(text), text[:40]
+
+
+def test_more_ranks_than_two_bytes_hold():
+    """A vocabulary of 100,000 ranks; the upper word of the queue grows with it."""
+    draw = random.Random(3)
+    ranks = {bytes([k]): k for k in range(256)}
+    known = list(ranks)
+    while len(ranks) < 100_000:
+        ranks.setdefault(new := draw.choice(known) + draw.choice(known), len(ranks))
+        if len(new) < 6:
+            known.append(new)
+    reference = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = Codec(ranks, P.PATTERN)
+    for _ in range(30):
+        text = "".join(chr(draw.randrange(32, 500)) for _ in range(200))
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == reference.encode_ordinary(text)
 
 
 def test_byte_bpe_with_another_pattern(ranks):
