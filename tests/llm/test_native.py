@@ -1,6 +1,7 @@
 """Winnowing and decontamination against brute-force versions."""
 
 import hashlib
+import math
 import random
 from itertools import combinations
 
@@ -8,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vigilspark.llm.decontaminate import SEEDS, keep_clean, overlaps
+from vigilspark.llm.decontaminate import SEEDS, keep_clean, masks_of, overlaps
 from vigilspark.llm.winnowing import chosen, compare_edited, fingerprints, with_next
 
 
@@ -95,7 +96,28 @@ def test_seeds_find_every_pair_of_substitutions():
         assert any(all(p + j not in lost for j, m in enumerate(seed) if m == "1") for seed in SEEDS for p in range(13 - len(seed) + 1)), lost
 
 
-def brute(docs, items, run=13, least=11):
+@pytest.mark.parametrize("size", range(1, 13))
+def test_masks_of_short_items_meet_every_substitution(size):
+    lost = size - math.ceil(size * 0.8)
+    for gone in combinations(range(size), lost):
+        assert any(all(p + j not in gone for j, m in enumerate(mask) if m == "1") for mask in masks_of(size) for p in range(size - len(mask) + 1)), gone
+
+
+def test_short_items_are_found(spark):
+    """Items of 1 to 13 words, each with as many substituted words as the rule allows, at every place, and one more."""
+    items, docs = [], []
+    for n in range(1, 14):
+        own = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(own)))
+        lost = n - math.ceil(n * 0.8)
+        for gone in [*combinations(range(n), lost), tuple(range(lost + 1))]:
+            docs.append((len(docs), "before " + " ".join("other" if k in gone else w for k, w in enumerate(own)) + " after"))
+    frame, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]): tuple(r)[2:6] for r in overlaps(frame, bench).collect()}
+    assert found == {k: v[:4] for k, v in brute(docs, items).items()}
+
+
+def brute(docs, items, run=13, alike=0.8):
     found = {}
     for d, text in docs:
         w = words(text or "")
@@ -105,7 +127,8 @@ def brute(docs, items, run=13, least=11):
             for shift in range(-len(b) + 1, len(w)):
                 low, high = max(0, -shift), min(len(b), len(w) - shift)
                 equal = [w[j + shift] == b[j] for j in range(low, high)]
-                if any(sum(equal[i : i + run]) >= least for i in range(max(0, len(equal) - run + 1))):
+                size = min(run, len(b))
+                if b and any(sum(equal[i : i + size]) >= math.ceil(size * alike) for i in range(max(1, len(equal) - size + 1))):
                     row = (sum(equal), -shift, low, high - low)
                     best = (max(best[0], row), best[1] + 1) if best else (row, 1)
             if best:
@@ -166,6 +189,11 @@ def test_odd_overlaps(spark, odd_documents, no_documents):
     assert [(r["doc_id"], r["item_id"], r["n_equal"]) for r in rows] == [(90, 1, 20)]
     kept = keep_clean(odd_documents, bench)
     assert kept.columns == odd_documents.columns and kept.count() == odd_documents.count() - 1
+    # by row: only the text that overlaps goes, of a null id too
+    leak = " ".join(f"w{k}" for k in range(20))
+    rows = [(1, leak), (1, "clean"), (None, leak), (None, "clean"), (2, None)]
+    kept = keep_clean(spark.createDataFrame(rows, "doc_id bigint, text string"), bench)
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, "clean"), (None, "clean"), (2, None)], key=repr)
     assert overlaps(no_documents, bench).count() == 0 and overlaps(odd_documents, bench.limit(0)).count() == 0
 
 

@@ -24,6 +24,15 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells rows of texts apart: id and text, as a struct that sorts by id (null ids last) and is never null.
+
+    The text is given by two 64-bit hashes; a null text counts as the empty one.
+    """
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    return F.struct(docs[id_col].isNull().alias("no_id"), docs[id_col].alias("id"), F.xxhash64(text).alias("hash"), F.xxhash64(F.lit(1), text).alias("more"))
+
+
 def remainder(id_col: Column | str, of: int) -> Column:
     """crc32 of the id as text, modulo ``of``; null ids count as the empty text."""
     text = F.coalesce(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string"), F.lit(""))

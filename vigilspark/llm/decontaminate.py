@@ -8,15 +8,18 @@ are compared one by one. The overlap counts if some run of words has enough equa
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import small_side, texts_of
-from .winnowing import let, words
+from .common import row_key, small_side, texts_of
+from .winnowing import words
 
 #: Masks of weight 6. Whichever 2 of 13 words are substituted, some place of one of the masks is whole (all 78 pairs tried in the tests),
-#: so every run of 13 words with 11 equal ones is found. 
+#: so every run of 13 words with 11 equal ones is found.
 SEEDS = ("1111011", "1110010011")
 #: Words of the run that is verified, and the equal ones among them.
 RUN = 13
@@ -30,6 +33,26 @@ def _hashes(hashed: Column, seed: str) -> Column:
     return F.transform(fit, lambda x, i: F.xxhash64(F.lit(seed), x, *[F.get(hashed, i + F.lit(j)) for j in places[1:]]))
 
 
+def masks_of(size: int, seeds: tuple[str, ...] = SEEDS, run: int = RUN, alike: float = ALIKE) -> tuple[str, ...]:
+    """Masks for an item of ``size`` words: the seeds from ``run`` words on, else masks over the whole item.
+
+    A shorter item may have d words substituted. Cut into d + 2 parts, it has two without
+    a substitution wherever these are, so a mask for every choice of d parts to leave out finds it; with
+    d = 0 the mask is the whole item.
+    """
+    if size >= run:
+        return seeds
+    lost = size - ceil(size * alike)
+    if not lost:
+        return ("1" * size,)
+    ends = [size * k // (lost + 2) for k in range(lost + 3)]
+    out = {
+        "".join("0" * (b - a) if k in gone else "1" * (b - a) for k, (a, b) in enumerate(zip(ends, ends[1:]))).strip("0")
+        for gone in combinations(range(lost + 2), lost)
+    }
+    return tuple(sorted(out))
+
+
 def word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
@@ -60,17 +83,28 @@ def overlaps(
     n_words is the item's words that lie within the document, from item_word on the item's side and
     doc_word on the document's (0-based), n_equal the equal ones among them, at the place with most
     equal words (the first among ties); n_places counts the places where the item overlaps. An overlap
-    is a run of ``run`` words (all of a shorter item's) with ``alike`` of them equal, rounded up. Items
-    shorter than the shortest seed, null ones included, are never found, and a null document overlaps
-    nothing. Repeated ids count as one document. Other columns are ignored. Without hits: no rows.
+    is a run of ``run`` words (all of a shorter item's) with ``alike`` of them equal, rounded up; so an item of
+    up to four words overlaps where it stands word for word. Items without words or with a null id are
+    never found, and a null document overlaps nothing. Repeated ids count as one document. Other columns are ignored. Without hits: no rows.
 
-    The benchmark is broadcast only if its counted seed hashes are few; else both sides are
-    shuffled by hash. Documents without hits are not read into the verification.
+    Short items have masks of their own, which documents are hashed by only if there are items of that length.
+    The benchmark is broadcast only if its counted seed hashes and words are few; else both sides are
+    shuffled. Documents without hits are not read into the verification.
     """
     items = texts_of(benchmark, item_col, item_text_col).select(F.col("doc_id").alias("id"), word_hashes(F.col("text")).alias("hashed"))
-    items = stage(items.where(F.size("hashed") >= min(map(len, seeds))).where(F.col("id").isNotNull()), "items")
-    wanted = stage(seed_hits(items, seeds).select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("hash").alias("wanted")), "wanted")
+    items = stage(items.where(F.size("hashed") > 0).where(F.col("id").isNotNull()), "items")
+    sizes = [r[0] for r in items.select(F.least(F.size("hashed"), F.lit(run))).distinct().collect()]  # at most ``run`` numbers
+    masks = {size: masks_of(size, seeds, run, alike) for size in sizes}
+    own = [seed_hits(items.where(F.least(F.size("hashed"), F.lit(run)) == size), m) for size, m in sorted(masks.items())]
+    if not own:
+        own = [seed_hits(items, seeds)]
+    hit_items = own[0]
+    for more in own[1:]:
+        hit_items = hit_items.unionByName(more)
+    seeds = tuple(sorted({m for found in masks.values() for m in found})) or seeds
+    wanted = stage(hit_items.select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("hash").alias("wanted")), "wanted")
     n_wanted = wanted.count()
+    n_items, n_words = items.agg(F.count("*"), F.coalesce(F.sum(F.size("hashed")), F.lit(0))).first()
     texts = texts_of(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
     hashed = texts.select(F.col("doc_id").alias("id"), word_hashes(F.col("text")).alias("hashed"))
     hits = seed_hits(hashed, seeds).join(small_side(wanted, n_wanted), F.col("hash") == F.col("wanted"))
@@ -83,7 +117,7 @@ def overlaps(
     # beyond the broadcast's bound both sides are shuffled by item, and only the words that the item can cover go along
     size = F.size("item_words")
     its_items = items.select(F.col("id").alias("its_item"), F.col("hashed").alias("item_words"))
-    laid = along.join(small_side(its_items, items.count()), F.col("item_id") == F.col("its_item"))
+    laid = along.join(small_side(its_items, n_items + n_words), F.col("item_id") == F.col("its_item"))
     laid = laid.select(
         "id", "item_id", "shift", "item_words",
         F.slice("doc_words", F.greatest(F.col("shift"), F.lit(0)) + 1, size).alias("beside"),
@@ -93,7 +127,7 @@ def overlaps(
     equal = F.transform(F.slice("beside", 1, fit), lambda w, i: (w == F.get(F.col("item_words"), i + F.col("item_word"))).cast("int"))
     compared = laid.select("id", "item_id", "shift", "item_word", F.size("item_words").alias("size"), equal.alias("equal"))
     length = F.least(F.lit(run), F.col("size"))
-    checked = compared.withColumn("best", let(_sums(F.col("equal")), lambda sums: F.array_max(_runs(sums, length))))
+    checked = compared.withColumn("best", _best_run(F.col("equal"), length))
     checked = checked.where(F.col("best") >= F.ceil(length * alike))
     best = F.struct(_total("equal").alias("n_equal"), (-F.col("shift")).alias("back"), F.col("item_word"), F.size("equal").alias("n_words"))
     return (
@@ -111,18 +145,19 @@ def _total(column: str) -> Column:
     return F.aggregate(column, F.lit(0), lambda a, x: a + x)
 
 
-def _sums(equal: Column) -> Column:
-    """Running counts, beginning with 0; an item is short enough for one array."""
-    return F.aggregate(equal, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-
-
-def _runs(sums: Column, length: Column) -> Column:
-    """Equal words in each run of ``length`` words, or in all there are."""
-    ends = F.slice(sums, F.least(length, F.size(sums) - 1) + 1, F.size(sums))
-    return F.transform(ends, lambda end, i: end - F.get(sums, i))
+def _best_run(equal: Column, length: Column) -> Column:
+    """Most equal words in a run of ``length`` words, or in all there are; each run is added up by itself, so time grows with the words."""
+    last = F.greatest(F.size(equal) - length, F.lit(0))
+    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.aggregate(F.slice(equal, i + 1, length), F.lit(0), lambda a, x: a + x))
+    return F.array_max(runs)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose document overlaps no benchmark item; rows with a null id stay."""
-    found = stage(overlaps(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
-    return docs.join(small_side(found, found.count()), docs["doc_id"] == found["leaked"], "left_anti")
+    """Rows of ``docs`` whose text overlaps no benchmark item.
+
+    Decided row by row: rows are told apart by id and text, null ids are compared like others, and of rows with one id
+    only those with an overlap go. All columns stay.
+    """
+    keyed = docs.select(row_key(docs).alias("doc_id"), docs["text"].alias("text"))
+    found = stage(overlaps(keyed, benchmark).select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
+    return docs.join(small_side(found, found.count()), row_key(docs) == found["leaked"], "left_anti")
