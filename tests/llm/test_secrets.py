@@ -1,7 +1,9 @@
 import base64
 import hashlib
 import json
+import random
 import re
+import time
 
 from vigilspark.llm.secrets import all_spans, base_spans, find_secrets, redact_documents, redacted
 
@@ -100,6 +102,31 @@ def test_what_only_looks_like_a_key_is_left():
     assert not kinds("A" * 5000)
 
 
+ENCRYPTED = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, b"")) + der(4, bytes(range(200))))
+
+
+def test_narrow_indented_and_encrypted_keys():
+    for width in (16, 24, 48, 52, 64, 76):
+        for indent in ("", "  ", "\t"):
+            for key in (RSA, PKCS8, PUBLIC, ENCRYPTED, SSH, OPENSSH):
+                lines = re.findall(f".{{1,{width}}}", b64(key))
+                body = f"\n{indent}".join(lines)
+                assert covered(f"key: |\n{indent}-----BEGIN KEY-----\n{indent}{body}\n{indent}-----END KEY-----\nmore: 1\n") == [body], (width, indent, key[:8])
+    digest = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")) + der(5, b"")) + der(4, bytes(64)))
+    assert not kinds(b64(digest))  # a digest with its algorithm is no key
+
+
+def test_time_grows_with_the_text():
+    draw = random.Random(1)
+    for first in ("", "MIIE", "MIMf////AgEA", "AAAAB3NzaC1yc2EAAAAD", "30820400020100"):
+        lines = [first + b64(draw.randbytes(57))[: 76 - len(first)] for _ in range(20_000_000 // 77 // (8 if first else 1))]
+        text = "\n".join(lines)
+        began = time.process_time()
+        all_spans(text)
+        took = time.process_time() - began
+        assert took < 20 * len(text) / 20_000_000 + 1, (first, took)
+
+
 def test_patterns_by_the_contract():
     """Against the stated pattern taken literally, with every match's length tested afterwards."""
     assign = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

@@ -30,13 +30,20 @@ ASSIGN = re.compile(rf"""({KEYWORD})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)
 ACCESS = re.compile(rf"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}")
 HEX = re.compile(rf"[0-9a-f]{{{HEX_LEAST},}}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-#: Where a key can begin (it takes 40 bytes or more), the lines of a wrapped block, and what ends a line, also as JSON and env files write it.
-LONG_LINE = re.compile(r"[A-Za-z0-9+/_-]{54,}")
+#: Where a key can begin: at a run's start (the letter of a written line end is no part of it), with the first
+#: bytes of a sequence, a private-key container or a public key's type, in base64 or hex.
+_STARTS = r"(?:M[A-P]|30|b3Bl|6[fF]70|AAAA[BCE]|000000)[A-Za-z0-9+/_-]{11,}"
+START = re.compile(rf"(?<![A-Za-z0-9+/_-]){_STARTS}|(?<=\\[nr]){_STARTS}")
+#: The lines of a wrapped block, and what ends a line, also as JSON and env files write it; the next may be indented.
 LINE = re.compile(r"(?!-----)[A-Za-z0-9+/_-]+")
-LINE_END = re.compile(r"\r?\n|(?:\\+r)?\\+n")
-#: Characters at a key's start that tell whether it can be one.
-HEAD = 48
+LINE_END = re.compile(r"(?:\r?\n|(?:\\+r)?\\+n)[\x20\t]*")
+#: Characters at a key's start that tell whether it can be one, and the bytes that a key takes at least.
+HEAD, LEAST = 48, 40
 SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+#: Fields that a public key has at least, by its type.
+FIELDS = dict(zip(SSH_TYPES, (3, 5, 2, 3, 3, 3)))
+#: Public-key standards 5 and 12, under which encrypted private keys name their algorithm.
+ENCRYPTED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c"))
 OPENSSH = b"openssh-key-v1\0"
 SEQUENCE, INTEGER, BITS, OCTETS, OID = 0x30, 0x02, 0x03, 0x04, 0x06
 
@@ -76,8 +83,8 @@ def der_items(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
 
 
 def is_der_key(data: bytes) -> bool:
-    """A private or public key: PKCS#1, SEC1, PKCS#8 or subject public key, with all lengths adding up."""
-    if len(data) < 40 or data[0] != SEQUENCE:
+    """A private or public key: PKCS#1, SEC1, PKCS#8 (encrypted or not) or subject public key, with all lengths adding up."""
+    if len(data) < LEAST or data[0] != SEQUENCE:
         return False
     outer = der_items(data, 0, len(data))
     if not outer or len(outer) != 1:
@@ -94,6 +101,9 @@ def is_der_key(data: bytes) -> bool:
         if len(tags) >= 3 and tags[1] == SEQUENCE and tags[2] == OCTETS:  # PKCS#8
             return _has_algorithm(data, parts[1])
         return False
+    if tags == [SEQUENCE, OCTETS]:  # encrypted PKCS#8
+        inside = der_items(data, parts[0][1], parts[0][2])
+        return bool(inside) and inside[0][0] == OID and data[inside[0][1] : inside[0][2]].startswith(ENCRYPTED)
     return tags == [SEQUENCE, BITS] and _has_algorithm(data, parts[0])
 
 
@@ -137,65 +147,91 @@ def _decoded(text: str) -> Iterator[tuple[int, int, str]]:
             if is_signed_token(m[0]):
                 yield m.start(), m.end(), "jwt"
     covered = 0
-    for m in LONG_LINE.finditer(text):
-        at = m.start()
-        escaped = at > 0 and text[at - 1] == "\\" and text[at] in "nr" and m.end() - at > 54  # the letter belongs to a written line end
-        for start in (at + 1, at) if escaped else (at,):
-            found = _key_at(text, start, m.end()) if start >= covered else None
-            if found:
-                covered = found[0]
-                yield start, *found
-                break
+    for m in START.finditer(text):
+        found = _key_at(text, *m.span()) if m.start() >= covered else None
+        if found:
+            covered = found[0]
+            yield m.start(), *found
 
 
-def _lines(text: str, start: int, end: int) -> list[tuple[int, int, int]]:
+def _lines(text: str, start: int, end: int) -> Iterator[tuple[int, int, int]]:
     """(start, end, end with padding) of the block's lines: lines of equal length and one last, shorter line, as keys are wrapped."""
-    lines, full = [], end - start
+    full = end - start
     while True:
         padded = end + (2 if text.startswith("==", end) else text.startswith("=", end))
-        lines.append((start, end, padded))
+        yield start, end, padded
         gap = LINE_END.match(text, end) if padded == end and end - start == full else None
         line = LINE.match(text, gap.end()) if gap else None
         if not line or len(line[0]) > full:
-            return lines
+            return
         start, end = line.span()
 
 
 def _key_at(text: str, start: int, end: int) -> tuple[int, str] | None:
-    """(end, kind) of the key that begins at ``start`` and ends with a line; lengths inside the key tell with which one."""
-    for decode, bits in ((_unhex, 4), (_unbase64, 6)):
-        head = decode(text[start : start + HEAD]) or b""
-        public = any(head.startswith(len(t).to_bytes(4, "big") + t) for t in SSH_TYPES)
-        if not (head.startswith((b"\x30", OPENSSH)) or public):
+    """(end, kind) of the key that begins at ``start`` and ends with a line.
+
+    Lengths inside the key tell how many lines it takes, and no more are looked at. Only a private-key
+    container, whose end isn't told by its head, takes the whole block or as many of its lines as confirm it.
+    """
+    for decode, bits, unit in ((_unhex, 4, 2), (_unbase64, 6, 4)):
+        shown = min(end - start, HEAD)
+        head = decode(text[start : start + shown - shown % unit]) or b""
+        if len(head) < 6:
+            continue
+        if head.startswith(OPENSSH[: len(head)]):
+            lines = list(_lines(text, start, end))
+            body = "".join(text[a:b] for a, b, _ in lines)
+            for a, b, padded in reversed(lines):
+                if kind := _key_kind(decode(body)):
+                    return padded, kind
+                body = body[: len(body) - (b - a)]
             continue
-        lines = _lines(text, start, end)
-        body = "".join(text[a:b] for a, b, _ in lines)
-        size = _der_size(head) if head[0] == SEQUENCE else None
-        if public:
-            usable = len(body) // 2 * 2 if bits == 4 else len(body) - (len(body) % 4 == 1)
-            ends = _field_ends(decode(body[:usable]) or b"")
-        chars = len(body)
-        for a, b, padded in reversed(lines):
-            fits = chars == -(-8 * size // bits) if size is not None else not public or chars * bits // 8 in ends
-            kind = _key_kind(decode(body[:chars])) if fits else None
-            if kind:
-                return padded, kind
-            chars -= b - a
+        if not _may_be_key(head):
+            continue
+        parts, chars, (ends, known) = [], 0, _ends(head)
+        for a, b, padded in _lines(text, start, end):
+            parts.append(text[a:b])
+            chars += b - a
+            while head[0] != SEQUENCE and chars * bits // 8 >= known + 4:  # a further length has come in sight
+                body = "".join(parts)
+                ends, more = _ends(decode(body[: len(body) - len(body) % unit]) or b"")
+                if more == known:
+                    break
+                known = more
+            if any(chars == -(-8 * size // bits) for size in ends):
+                kind = _key_kind(decode("".join(parts)))
+                if kind:
+                    return padded, kind
+            if (len(text) - start) * bits < 8 * known or (head[0] == SEQUENCE and chars * bits >= 8 * known):
+                break
     return None
 
 
-def _der_size(head: bytes) -> int:
-    """Bytes of the outer value with its tag and length."""
-    n = head[1] & 127 if head[1] >= 128 else 0
-    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+def _may_be_key(head: bytes) -> bool:
+    """A sequence that begins with a number or a sequence, or the length and name of a public key's type."""
+    if head[0] == SEQUENCE:
+        n = head[1] & 127 if head[1] >= 128 else 0
+        return n <= 4 and _der_size(head) >= LEAST and head[2 + n : 3 + n] in (bytes([INTEGER]), bytes([SEQUENCE]), b"")
+    return any((len(t).to_bytes(4, "big") + t).startswith(head[: 4 + len(t)]) for t in SSH_TYPES)
 
 
-def _field_ends(data: bytes) -> set[int]:
-    at, ends = 0, set()
+def _ends(data: bytes) -> tuple[list[int], int]:
+    """Where the key may end, and how far its lengths are known: a sequence's end, or those of a public key's
+    fields from the number on that its type has."""
+    if data[:1] == bytes([SEQUENCE]):
+        return [_der_size(data)], _der_size(data)
+    at, ends = 0, []
     while at + 4 <= len(data):
         at += 4 + int.from_bytes(data[at : at + 4], "big")
-        ends.add(at)
-    return ends
+        ends.append(at)
+    name = data[4 : ends[0]] if ends and ends[0] <= len(data) else b""
+    return ends[FIELDS[name] - 1 :] if name in FIELDS else [], at
+
+
+def _der_size(head: bytes) -> int:
+    """Bytes of the outer value with its tag and length."""
+    n = head[1] & 127 if head[1] >= 128 else 0
+    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
 
 
 def _key_kind(data: bytes | None) -> str | None:
