@@ -16,7 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .common import Memo, per_document, remainder, texts_of
 from .samples import labelled_sample
@@ -51,8 +52,10 @@ def sentences(text: str) -> list[str]:
     return SENTENCE.findall(text) or [""]
 
 
-def fit(sample: list[tuple[str, int]], rounds: int = 120, rate: float = 0.1, l1: float = 0.08) -> tuple[np.ndarray, float]:
-    """Weights by bin (bin 0: none) and the bias, by Adam on the noisy-or likelihood, with an L1 penalty. of ``l1`` over the square root of the sample's size."""
+def fit(sample: list[tuple[str, int]], rounds: int = 120, rate: float = 0.1, l1: float = 0.03) -> tuple[np.ndarray, float]:
+    """Weights by bin (bin 0: none) and the bias, by Adam on the noisy-or likelihood, with an L1 penalty of ``l1`` over the square root of the sample's size.
+
+    Both labels weigh the same, whatever their numbers."""
     words: dict[str, int] = {}
     of_word, word_sentence, sentence_doc = array("i"), array("i"), array("i")
     for d, (text, _) in enumerate(sample):
@@ -143,15 +146,23 @@ _SCORERS: dict[bytes, Scorer] = {}
 SPANS = "array<struct<start:int,end:int,score:double>>"
 
 
+def eligible_labels(hold_of: int, held: int) -> Column:
+    return F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (remainder("doc_id", hold_of) != held)
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame, hold_of: int = 4, held: int = 2, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[np.ndarray, np.ndarray, float]:
     """(bins, weights, bias) fitted on at most ``rows`` rows and ``chars`` code points of each label, none of them held out.
 
-    ``held=-1`` holds none out. Without labels of both kinds every text gets the labels' mean.
+    ``held=-1`` holds none out. Without labels of both kinds every text gets the labels' mean. All labels that aren't
+    held out are counted for the proportion of toxic ones.
     """
     sample = labelled_sample(docs, labels, "toxic", remainder("id", hold_of) != held, [0, 1], rows, chars)
     weights, bias = fit(sample)
     bins = np.flatnonzero(weights)
-    return bins, weights[bins], bias
+    counts = dict(labels.where(eligible_labels(hold_of, held)).groupBy(F.col("toxic").cast("int")).count().collect())
+    # the fit weighs both labels alike; the corpus has them in other proportions, which moves the bias by their log odds
+    odds = math.log(counts[1] / counts[0]) if counts.get(0) and counts.get(1) and len(bins) else 0.0
+    return bins, weights[bins], bias + odds
 
 
 def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
