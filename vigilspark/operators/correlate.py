@@ -337,9 +337,9 @@ def _per_rule(rules: Sequence[CorrelationRule], value: Callable[[CorrelationRule
 
 
 def correlation_matches(
-    scored: DataFrame, rules: Sequence[CorrelationRule], detection: Sequence[DetectionRule] = BUILTIN_RULES
+    scored: DataFrame, rules: Sequence[CorrelationRule], detection: Sequence[DetectionRule] = BUILTIN_RULES, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per trigger: the match it makes with the alerts before it."""
+    """One row per trigger: the match it makes with the alerts before it, and the columns ``keep``."""
     n = (F.col("partners") + 1).alias("alert_count")
     texts = {
         "entity": F.col("entity_key"), "n": F.col("partners") + 1, "partners": F.col("partners"),
@@ -394,7 +394,7 @@ def correlation_matches(
         _per_rule(rules, lambda r: _fmt(r.description, **texts)).alias("description"),
         _per_rule(rules, mitre).alias("mitre_techniques"),
         _per_rule(rules, evidence).alias("evidence"),
-        matched_rules.alias("matched_rules"),
+        matched_rules.alias("matched_rules"), *keep,
     )
 
 
