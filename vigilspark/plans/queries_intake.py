@@ -15,6 +15,8 @@ from ..operators import normalize as N
 from ..session import stage_root
 from ..sources import readers as S
 from ..sources import sinks
+from ..sources.buckets import BucketTable
+from ..streaming.streams import stream_upsert
 from .oracle_base import AL, EV, NAMES, RULES, stamp as us_stamp, with_
 from .registry import joined, query, stamp
 from .workspace import Workspace
@@ -179,6 +181,20 @@ def _(ws):
     return sinks.upsert(new, ws.table("documents").select("doc_id", "lang", "source"), "doc_id", ["source"]).table
 
 
+@query("x05_stream_upsert", """SELECT d.doc_id, d.lang, CASE WHEN l.doc_id IS NULL THEN d.source ELSE 'quality '||l.quality END AS source FROM documents d LEFT JOIN labels l USING (doc_id)
+UNION ALL SELECT doc_id, 'xx', 'quality '||quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
+def _(ws):
+    # documents and labels as two micro-batches of one stream; the second changes the source of what is labelled
+    folder = f"{stage_root(ws.spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
+    docs = ws.table("documents").select("doc_id", "lang", "source")
+    labels = ws.table("labels").select("doc_id", F.lit("xx").alias("lang"), F.concat(F.lit("quality "), "quality").alias("source"))
+    for part in (docs, labels):
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = ws.spark.readStream.schema(docs.schema).parquet(f"{folder}/in")
+        stream_upsert(stream, f"{folder}/table", "doc_id", ["source"], f"{folder}/check", buckets=64).trigger(availableNow=True).start().awaitTermination()
+    return BucketTable(ws.spark, f"{folder}/table", "doc_id", docs.schema, 64).read()
+
+
 @query("s10_append_audit", with_(EV, AL) + """SELECT 'alert.created' AS action, count(*) AS n, count(DISTINCT alert_id) AS targets FROM al
 UNION ALL SELECT 'event.created', count(*), count(*) FROM ev""")
 def _(ws):

@@ -1,8 +1,6 @@
-"""Sinks (S08-S10): insert-if-absent, upsert and audit over Parquet tables.
+"""Sinks (S08-S10): insert-if-absent and upsert of whole frames, and the audit log.
 
-A table is a folder of versions, ``v=<n>``. A write makes the next version from the last
-one and never touches files in use, so a job that dies half way leaves the table as it
-was. Version numbers are read with the Hadoop file system of the session.
+Stored tables are merged into by bucket (``buckets.py``).
 """
 
 from __future__ import annotations
@@ -25,7 +23,7 @@ class Written(NamedTuple):
     outcomes: DataFrame
 
 
-def _one_of_each(new: DataFrame, key: str, order: str | None, pick) -> DataFrame:
+def one_of_each(new: DataFrame, key: str, order: str | None, pick) -> DataFrame:
     """One row a key: ``pick`` by the order column, or by all columns that can be ordered; never an arbitrary one."""
     by = [order] if order else []
     by += [f.name for f in new.schema.fields if f.name not in (key, order) and "map<" not in f.dataType.simpleString()]
@@ -39,7 +37,7 @@ def insert_if_absent(new: DataFrame, stored: DataFrame | None, key: str, order:
 
     Of several new rows of a key the first by ``order`` is inserted.
     """
-    unique = _one_of_each(new, key, order, F.min_by)
+    unique = one_of_each(new, key, order, F.min_by)
     if stored is None:
         return Written(unique, unique.select(key, F.lit("created").alias("outcome")))
     added = unique.join(stored.select(key), key, "left_anti")
@@ -55,7 +53,7 @@ def upsert(new: DataFrame, stored: DataFrame | None, key: str, mutable: Sequence
 
     Of several new rows of a key the last by ``order`` counts.
     """
-    unique = _one_of_each(new, key, order, F.max_by)
+    unique = one_of_each(new, key, order, F.max_by)
     if stored is None:
         return Written(unique, unique.select(key, F.lit("created").alias("outcome")))
     joined = stored.withColumn("_old", F.lit(True)).alias("o").join(
@@ -120,33 +118,3 @@ def _audit_log(spark: SparkSession, path: str) -> DataFrame | None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     return spark.read.parquet(path) if fs.exists(folder) else None
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    found = []
-    for status in fs.listStatus(folder):
-        name = status.getPath().getName()
-        done = fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
-        if name.startswith("v=") and done:
-            found.append(int(name[2:]))
-    return sorted(found)
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """Last complete version of a table, or None."""
-    versions = _versions(spark, path)
-    return spark.read.parquet(f"{path}/v={versions[-1]}") if versions else None
-
-
-def write_table(df: DataFrame, path: str) -> DataFrame:
-    """Write the next version of a table and read it back."""
-    spark = df.sparkSession
-    versions = _versions(spark, path)
-    target = f"{path}/v={(versions[-1] if versions else 0) + 1}"
-    df.write.mode("overwrite").parquet(target)
-    return spark.read.schema(df.schema).parquet(target)

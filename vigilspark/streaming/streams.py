@@ -15,7 +15,7 @@ from ..operators.alerts import ENTITY_COLUMNS, build_alerts
 from ..operators.correlate import CorrelationRule, Correlations, all_rules, correlate, correlate_increment
 from ..operators.detect import BUILTIN_RULES, DetectionRule, detect
 from ..operators.lookup import latest_per
-from ..sources import sinks
+from ..sources.buckets import BUCKETS, BucketTable
 
 MAX_WINDOW = "3600 seconds"
 
@@ -160,13 +160,12 @@ def stream_correlate(alerts: DataFrame, sink: CorrelationSink, checkpoint: str)
 
 
 def stream_upsert(
-    df: DataFrame, path: str, key: str, mutable: Sequence[str], checkpoint: str
+    df: DataFrame, path: str, key: str, mutable: Sequence[str], checkpoint: str, buckets: int = BUCKETS, order: str | None = None
 ) -> DataStreamWriter:
-    """Every micro-batch is merged into a versioned Parquet table."""
+    """Every micro-batch is merged into the table's touched buckets; one that is run again changes nothing."""
 
-    def merge(batch: DataFrame, _: int) -> None:
-        stored = sinks.read_table(batch.sparkSession, path)
-        sinks.write_table(sinks.upsert(batch, stored, key, mutable).table, path)
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        BucketTable(batch.sparkSession, path, key, df.schema, buckets).merge(batch, batch_id, mutable, order)
 
     return df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
