@@ -262,15 +262,15 @@ def propose_responses(
     return out if stored is None else out.join(stored.select("action_id"), "action_id", "left_anti")
 
 
-def case_view(cases: DataFrame, notes: DataFrame, evidence: DataFrame, shown: int = 100) -> DataFrame:
-    """Cases with their first ``shown`` notes nested, and all notes and evidence references counted.
+def case_view(cases: DataFrame, notes: DataFrame, evidence: DataFrame, shown: int | None = None) -> DataFrame:
+    """Cases with their notes nested (all, or the first ``shown``), and all notes and evidence references counted.
 
     Notes and evidence can be many, so in full they stay tables of their own (``case_notes``, ``link_evidence``).
     """
     note = F.struct("created_at", "note_id", "author", "content")
     shown = case_notes(notes).groupBy("case_id").agg(
         F.count("*").alias("note_count"),
-        F.array_sort(F.collect_list(F.when(F.col("position") <= shown, note))).alias("notes"),
+        F.array_sort(F.collect_list(note if shown is None else F.when(F.col("position") <= shown, note))).alias("notes"),
     )
     refs = (
         evidence.groupBy("case_id", "evidence_type").agg(F.count("*").alias("n"))

@@ -191,10 +191,13 @@ def _(ws):
     return R.add_features(ws.incidents, ws.correlations).select("incident_id", F.round(R.risk_probability(features), 3).alias("probability"))
 
 
-@query("r26_feature_contributions", BASE_R + "SELECT iid AS incident_id, round(alert_count*0.2331::DOUBLE, 3) AS alert_count, round(f_priv*1.0103::DOUBLE, 3) AS has_privilege_escalation, 0.0::DOUBLE AS has_bulk_export FROM rl")
+CONTRIBUTIONS = ", ".join(f"round({n}*{float(fv.ARTIFACT_V1['weights'].get(n, 0.0))!r}::DOUBLE, 4) AS {n}" for n in fv.FEATURES)
+
+
+@query("r26_feature_contributions", f"SELECT incident_id, {CONTRIBUTIONS} FROM ({FEATURES_SQL})")
 def _(ws):
     c = F.col("feature_contributions")
-    return ws.risks.select("incident_id", *[F.round(c[n], 3).alias(n) for n in ("alert_count", "has_privilege_escalation", "has_bulk_export")])
+    return ws.risks.select("incident_id", *[c[n].alias(n) for n in fv.FEATURES])
 
 
 @query("r27_score_and_level", BASE_R + "SELECT lvl AS risk_level, min(score) AS lowest, max(score) AS highest, count(*) AS n FROM rl GROUP BY 1")

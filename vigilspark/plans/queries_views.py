@@ -100,14 +100,16 @@ ca AS (
     (SELECT max(n) FROM pg WHERE pg.t=sh.t) AS records FROM sh)"""
 
 
-@query("p05_profile_dataset", "WITH " + PROFILE + "," + SHAPE + " SELECT did AS dataset_id, t AS name, hash AS schema_hash, records AS record_count, cc AS column_count, lvl AS sensitivity, sens AS sensitive_columns FROM ca WHERE t='customer'")
+@query("p05_profile_dataset", "WITH " + PROFILE + "," + SHAPE + " SELECT did AS dataset_id, t AS name, hash AS schema_hash, records AS record_count, cc AS column_count, lvl AS sensitivity, sens AS sensitive_columns, true AS has_size FROM ca WHERE t='customer'")
 def _(ws):
     df, order = ws.renamed_tables()["customer"]
     asset = P.profile_dataset(df, "customer.parquet", "parquet", order, sample_rows=None)
-    return asset.select("dataset_id", "name", "schema_hash", "record_count", "column_count", "sensitivity", joined("sensitive_columns"))
+    return asset.select("dataset_id", "name", "schema_hash", "record_count", "column_count", "sensitivity", joined("sensitive_columns"), (F.col("size_bytes") > 0).alias("has_size"))
 
 
-@query("p05_profile_sample")
+@query("p05_profile_sample", "WITH o AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100)," + PROFILE.replace("FROM orders", "FROM o") + """
+SELECT nm AS name, CASE nm WHEN 'order_no' THEN 'int64' WHEN 'user_id' THEN 'int64' WHEN 'payment' THEN 'double' WHEN 'ordered_at' THEN 'timestamp[us]' ELSE 'string' END AS data_type,
+  ity AS inferred_type, nm IN ('user_id','secret','payment') AS is_sensitive, nr AS null_ratio, dr AS duplicate_ratio FROM pg WHERE t='orders'""")
 def _(ws):
     # the sampling form of the operator: first 100 rows in key order
     df, order = ws.renamed_tables()["orders"]
@@ -297,6 +299,14 @@ def _(ws):
     return state.select("entity_id", "status", F.coalesce("assignee", F.lit("-")).alias("assignee"))
 
 
+@query("l04_resolutions", f"""WITH RECURSIVE {CASE_LOG} SELECT wk.eid AS entity_id, 'done' AS summary, 'analyst-'||(arg_max(seq, r)%4) AS resolved_by,
+  strftime(arg_max(ts, r), '%Y-%m-%d %H:%M:%S.%f') AS resolved_at FROM wk JOIN events ON seq=event_id WHERE req='resolve' AND verdict='accepted' GROUP BY wk.eid""")
+def _(ws):
+    changes = ws.case_changes()
+    found = L.resolutions(changes, L.validate_case_transitions(changes)).select("entity_id", "resolution.*")
+    return found.withColumn("resolved_at", F.date_format("resolved_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 @query("l05_link_evidence", f"""SELECT 'evref-'||substr(sha256(c||':'||k||':'||f),1,16) AS evidence_id, c AS case_id, k AS evidence_type, f AS reference_key, 'linked with [REDACTED]' AS description, arg_min('analyst-'||(event_id%4), (ts, 'analyst-'||(event_id%4))) AS added_by
 FROM (SELECT *, 'case-'||(user_id%97) AS c, (['event','alert','incident','investigation'])[CAST(event_id%4 AS INTEGER)+1] AS k, 'ref-'||(event_id%40) AS f FROM events) GROUP BY c, k, f""")
 def _(ws):
@@ -326,14 +336,16 @@ def _(ws):
     return ws.responses.select("action_id", "incident_id", "action_type", F.coalesce("result", F.lit("-")).alias("result"))
 
 
-@query("l09_case_view", f"""WITH c AS (SELECT DISTINCT 'case-'||(user_id%97) AS case_id FROM events), n AS (SELECT 'case-'||(conv_id%97) AS case_id, count(*) AS notes FROM conversations WHERE {NOTE_TEXT}<>'' GROUP BY 1),
+@query("l09_case_view", f"""WITH c AS (SELECT DISTINCT 'case-'||(user_id%97) AS case_id FROM events), n AS (SELECT 'case-'||(conv_id%97) AS case_id, count(*) AS notes,
+  md5(string_agg('note-'||conv_id||'-'||turn||':'||{NOTE_TEXT}, ';' ORDER BY conv_id*60+turn, 'note-'||conv_id||'-'||turn)) AS digest FROM conversations WHERE {NOTE_TEXT}<>'' GROUP BY 1),
  e AS (SELECT 'case-'||(user_id%97) AS case_id, count(DISTINCT event_id%40) FILTER (event_id%4=2) AS incidents FROM events GROUP BY 1)
-SELECT c.case_id, coalesce(n.notes,0) AS notes, coalesce(e.incidents,0) AS incidents FROM c LEFT JOIN n USING (case_id) LEFT JOIN e USING (case_id)""")
+SELECT c.case_id, coalesce(n.notes,0) AS notes, coalesce(n.digest,'-') AS digest, coalesce(e.incidents,0) AS incidents FROM c LEFT JOIN n USING (case_id) LEFT JOIN e USING (case_id)""")
 def _(ws):
     cases = ws.case_changes().select(F.col("entity_id").alias("case_id")).distinct()
     view = L.case_view(cases, ws.case_notes(), L.link_evidence(ws.evidence_links()))
     return view.select(
         "case_id", F.coalesce("note_count", F.lit(0)).alias("notes"),
+        F.coalesce(F.md5(F.array_join(F.transform("notes", lambda n: F.concat(n["note_id"], F.lit(":"), n["content"])), ";")), F.lit("-")).alias("digest"),
         F.coalesce(F.try_element_at("evidence_counts", F.lit("incident")), F.lit(0)).alias("incidents"),
     )
 
