@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from tests.llm.conftest import ODD
 from vigilspark.llm.byte_bpe import Codec, encode_and_decode, load_ranks
 from vigilspark.llm.queries import BYTE_BPE, PIECE_BPE, WORD_BPE
-from vigilspark.llm.records import crc32c, framed, read_records, record_digests, unframed, write_records
+from vigilspark.llm.records import Encoder, crc32c, framed, read_records, record_digests, unframed, write_records
 from vigilspark.llm.token_counts import Counter, PieceModel, token_counts
 
 PARTS = [
@@ -142,3 +142,15 @@ def test_record_files(spark, odd_documents, no_documents, tmp_path, which):
 
 def test_rank_file_lines():
     assert load_ranks(base64.b64encode(b"a") + b" 0\n" + base64.b64encode(b"ab") + b" 1\n") == {b"a": 0, b"ab": 1}
+
+
+def test_lowered_words_give_the_librarys_ids():
+    """Case, marks that combine with small letters only, and special tokens in other cases."""
+    with open(P.path(WORD_BPE), encoding="utf-8") as f:
+        definition = f.read()
+    library, encoder = Tokenizer.from_str(definition), Encoder(definition, 2, 60)
+    draw = random.Random(8)
+    parts = [*PARTS, "H̱", "J̌ALO", "ÁB", "<|ENDOFTEXT|>", "<|startoftext|>", "ÉCOLE", "Word", "WORD,", "word.", "ŸES", "ẞ", "Ω"]
+    every = [" ".join(draw.choices(parts, k=draw.randint(0, 8))) for _ in range(800)]
+    found = [np.frombuffer(x, "<u2").tolist() for k in range(0, 800, 40) for x in encoder.ids(every[k : k + 40])]
+    assert found == [library.encode(t, add_special_tokens=False).ids for t in every]

@@ -33,8 +33,9 @@ MASK = 0xA282EAD8
 POLYNOMIAL = 0x82F63B78
 #: Bytes of a piece whose checksum is formed by itself.
 PIECE = 256
-MEMO = 1_200_000
-MEMO_BYTES = 200
+#: Words that a worker remembers, and cores (words without case and marks).
+MEMO = 900_000
+CORES = 400_000
 
 
 def _table() -> np.ndarray:
@@ -45,6 +46,8 @@ def _table() -> np.ndarray:
 
 
 TABLE = _table()
+#: What the lower 16 bits of a register become when two zero bytes follow.
+TABLE_2 = TABLE[TABLE[np.arange(1 << 16) & 255] & 255 ^ np.arange(1 << 16) >> 8] ^ (TABLE[np.arange(1 << 16) & 255] >> np.uint32(8))
 
 
 def _after_zeros(n: int) -> np.ndarray:
@@ -62,7 +65,7 @@ SHIFT = _after_zeros(PIECE).tolist()
 
 
 def crc32c(records: list[bytes]) -> list[int]:
-    """Unmasked CRC-32C of each record; all records' pieces are worked on together, byte by byte."""
+    """Unmasked CRC-32C of each record; all records' pieces are worked on together, two bytes at a time."""
     counts = [max(1, -(-len(r) // PIECE)) for r in records]
     rows = np.zeros((sum(counts), PIECE), np.uint8)
     flat, at = rows.reshape(-1), 0
@@ -72,8 +75,8 @@ def crc32c(records: list[bytes]) -> list[int]:
             flat[end - len(record) : end] = np.frombuffer(record, np.uint8)
         at += n
     register = np.zeros(len(rows), np.uint32)
-    for column in np.ascontiguousarray(rows.T):
-        register = TABLE[(register ^ column) & 255] ^ (register >> np.uint32(8))
+    for column in np.ascontiguousarray(rows.view("<u2").T):
+        register = TABLE_2[(register ^ column) & 0xFFFF] ^ (register >> np.uint32(16))
     pieces, at, found = register.tolist(), 0, []
     s0, s1, s2, s3 = SHIFT
     starts: dict[int, int] = {}
@@ -152,6 +155,9 @@ class Encoder:
         self.words: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {b"": b""}
+        #: The same for cores, so that a word in another case or with another mark isn't encoded anew.
+        self.cores: dict[bytes, bytes] = {}
+        self.cores_before: dict[bytes, bytes] = {}
         parts = json.loads(definition)
         suffix = parts["model"].get("end_of_word_suffix")
         self.last = None
@@ -159,10 +165,12 @@ class Encoder:
             vocabulary = self.tokenizer.get_vocab()
             self.last = np.zeros(max(vocabulary.values()) + 1, bool)
             self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.joined = Tokenizer.from_str(definition)
+        self.joined, self.lowers = Tokenizer.from_str(definition), False
+        self.special = [t["content"].lower().encode() for t in parts["added_tokens"]]
         steps = (parts.get("normalizer") or {}).get("normalizers", [])
         if [step["type"] for step in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": "\\s+"} and steps[1]["content"] == " ":
             self.joined.normalizer = normalizers.Lowercase()  # composed words between single blanks: the other steps change nothing
+            self.lowers = True
 
     def _alone(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -184,27 +192,44 @@ class Encoder:
             core = word.rstrip(self.MARKS)
             if self.last is not None and (core.isalpha() or core and self._latin(core.decode())):
                 plain.append(word)
-                cores.append(core)
                 marks.append(word[len(core) :])
+                cores.append(core if not self.lowers else core.lower() if core.isascii() else core.decode().lower().encode())
             else:
                 others.append(word)
         self.words.update(zip(others, self._alone([w.decode() for w in others])))
         tails = list(set(marks) - self.tails.keys())
         self.tails.update(zip(tails, self._alone([t.decode() for t in tails])))
-        distinct = list(set(cores))
-        heads = dict(zip(distinct, self._together([c.decode() for c in distinct])))
-        self.words.update(zip(plain, map(add, map(heads.__getitem__, cores), map(self.tails.__getitem__, marks))))
+        used = set(cores)
+        if len(self.cores) + len(used) > CORES // 2:
+            self.cores_before, self.cores = self.cores, {}
+        again = list(filter(self.cores_before.__contains__, used))
+        self.cores.update(zip(again, map(self.cores_before.__getitem__, again)))
+        distinct = list(used.difference(self.cores))
+        self.cores.update(zip(distinct, self._together([c.decode() for c in distinct])))
+        self.words.update(zip(plain, map(add, map(self.cores.__getitem__, cores), map(self.tails.__getitem__, marks))))
+        if len(self.cores) > CORES:
+            self.cores = {}  # as for words
 
     def _latin(self, text: str) -> bool:
         return self.PLAIN(text) is not None and unicodedata.is_normalized("NFC", text)
 
+    def _words(self, text: str) -> list[bytes]:
+        """The text's words, in lower case where the tokenizer lowers them anyway: not with marks that combine with
+        a small letter only, and not if that would make a special token."""
+        data = text.encode()
+        if self.lowers:
+            lowered = data.lower()
+            if not (b"\xcc" in lowered or b"\xcd" in lowered or any(t in lowered for t in self.special)):
+                return lowered.split()
+        return data.split()
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
+        split = list(map(self._words, texts))
         used = set().union(*split)
         new = used.difference(self.words)
         if len(self.words) + len(new) > self.memo // 2:
             self.before, self.words, new = self.words, {}, used
-        again = new.intersection(self.before)
+        again = set(filter(self.before.__contains__, new))  # intersection() would go through all that is remembered
         self.words.update(zip(again, map(self.before.__getitem__, again)))
         if len(new) > len(again):
             self._learn(new - again)
