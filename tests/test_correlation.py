@@ -170,3 +170,19 @@ def test_eighty_detection_rules(spark):
     ]
     found = C.correlate(frame(spark, alerts), [rule], detection).correlations.collect()
     assert [(r["alert_count"], r["trigger_count"], r["severity"]) for r in found] == [(80, 79, 15)]
+
+
+def test_an_alert_is_shuffled_once_with_its_columns(spark):
+    alerts = frame(spark, [alert(f"e{i}", "builtin-003", 60 * i, host="h", user="u") for i in range(8)])
+    plan = C.score_participations(C.participations(alerts, C.all_rules()))._jdf.queryExecution().executedPlan().toString()
+    keys = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert keys and not any("alert_id" in k for k in keys)
+
+
+def test_arrival_numbers_follow_time_then_event(spark):
+    told = [("b", "builtin-003", 60), ("b", "builtin-005", 60), ("a", "builtin-003", 60), ("c", "builtin-003", 4000), ("d", "builtin-003", 0)]
+    alerts = frame(spark, [alert(e, rule, ts, host="h") for e, rule, ts in told])
+    scored = C.score_participations(C.participations(alerts, C.all_rules())).where("correlation_type = 'same_entity'")
+    assert rows(scored, "event_id", "rule_id", "seq") == [
+        ("a", "builtin-003", 2), ("b", "builtin-003", 4), ("b", "builtin-005", 4), ("c", "builtin-003", 5), ("d", "builtin-003", 1),
+    ]

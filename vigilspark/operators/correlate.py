@@ -263,10 +263,14 @@ def participations(
 def score_participations(parts: DataFrame, columns: int = KINDS_AT_ONCE) -> DataFrame:
     """Adds to every participation what arrived before it within the window.
 
-    New columns: ``partners`` (number of partner alerts) and ``matched`` (rule and level of the
-    alerts in the match, once each, the alert's own included). A kind is a rule, at a level where
-    levels matter; kinds are numbered within their entity, so any number of rules and severities
-    does. Up to ``columns`` kinds are counted side by side, more in further rows.
+    New columns: ``partners`` (number of partner alerts), ``matched`` (rule and level of the
+    alerts in the match, once each, the alert's own included) and ``seq``, a number that orders the
+    alerts of one (type, entity) by arrival; alerts of one event have the same. A kind is a rule, at a
+    level where levels matter; kinds are numbered within their entity, so any number of rules and
+    severities does. Up to ``columns`` kinds are counted side by side, more in further rows.
+
+    An alert is shuffled twice: as itself, and without its columns one window later, where it leaves
+    the band of the alerts there.
     """
     kinds = stage(
         parts.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct(F.col("rule_no").alias("no"), F.col("level").alias("level")))).alias("kinds")),
@@ -276,50 +280,51 @@ def score_participations(parts: DataFrame, columns: int = KINDS_AT_ONCE) -> Data
     names = [f"c{i}" for i in range(min(columns, most))]
     width = len(names)
     of = kinds.select(*[F.col(k).alias(f"of_{k}") for k in KEY], "kinds")
-    numbered = parts.join(of, [F.col(k) == F.col(f"of_{k}") for k in KEY]).drop(*[f"of_{k}" for k in KEY])
     mine = F.struct(F.col("rule_no").alias("no"), F.col("level").alias("level"))
-    numbered = stage(numbered.withColumn("kind", (F.array_position("kinds", mine) - 1).cast("int")), "numbered")
+    numbered = parts.join(of, [F.col(k) == F.col(f"of_{k}") for k in KEY]).withColumn("kind", (F.array_position("kinds", mine) - 1).cast("int"))
 
-    # turn 1: the alert itself; turn 0: a probe at the lower edge of its band
-    here = F.struct(F.lit(1).alias("turn"), F.col("ts_us").alias("at_us"), F.col("kind").alias("kind"))
-    edge = F.struct(F.lit(0).alias("turn"), (F.col("ts_us") - F.col("window_us")).alias("at_us"), F.lit(-1).alias("kind"))
-    asking = F.size("asks") > 0
+    # turn 0: the alert itself, in every set of kinds; turn 1: it leaves, in the set of its own kind
     own_set = F.floor(F.col("kind") / width).cast("int")
     sets = F.sequence(F.lit(0), F.floor((F.size("kinds") - 1) / width).cast("int"))
-    ends = (
-        numbered.withColumn("e", F.explode(F.when(asking, F.array(here, edge)).otherwise(F.array(here))))
-        .withColumn("set", F.explode(F.when(asking, sets).otherwise(F.array(own_set))))
-        .select(
-            *KEY, "set", _floor_div(F.col("e.at_us"), _floor_div(F.col("window_us"), F.lit(SLOTS_PER_WINDOW))).alias("slot"),
-            "alert_id", "event_id", "e.turn", "e.at_us", (F.col("e.kind") - F.col("set") * width).alias("column"),
-        )
-    )
-    ones = [(F.col("column") == i).cast("bigint") for i in range(width)]
+    here = F.transform(sets, lambda i: F.struct(F.lit(0).alias("turn"), F.col("ts_us").alias("at_us"), i.alias("set")))
+    gone = F.array(F.struct(F.lit(1).alias("turn"), (F.col("ts_us") + F.col("window_us")).alias("at_us"), own_set.alias("set")))
+    carried = [c for c in parts.columns if c not in (*KEY, "event_id", "ts_us")]
+    itself = F.col("e.turn") == 0
+    ends = numbered.withColumn("e", F.explode(F.when(F.size("asked_by") > 0, F.concat(here, gone)).otherwise(here))).select(
+        *KEY, "e.set", _floor_div(F.col("e.at_us"), _floor_div(F.col("window_us"), F.lit(SLOTS_PER_WINDOW))).alias("slot"),
+        "e.at_us", "e.turn", F.when(itself, F.col("event_id")).alias("event_id"),
+        (F.col("kind") - F.col("e.set") * width).alias("column"), F.when(itself, F.struct("kind", *carried)).alias("alert"),
+    )
+    sign = F.when(F.col("turn") == 0, 1).otherwise(-1)
+    steps = {n: F.when(F.col("column") == i, sign).otherwise(0).cast("bigint") for i, n in enumerate(names)}
+    steps["seq"] = (F.col("turn") == 0).cast("bigint")
     in_slot = Window.partitionBy(*KEY, "set", "slot").orderBy("at_us", "turn", "event_id")
-    running = ends.select(*KEY, "set", "slot", "alert_id", "turn", *[F.sum(one).over(in_slot).alias(n) for n, one in zip(names, ones)])
+    together = Window.partitionBy(*KEY, "set", "slot", "at_us", "turn", "event_id")
+    running = ends.withColumns({n: F.sum(step).over(in_slot) for n, step in steps.items()}).withColumn(
+        "copies", F.collect_list("alert.alert_id").over(together)
+    )
     before = Window.partitionBy(*KEY, "set").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ends.groupBy(*KEY, "set", "slot").agg(*[F.sum(one).alias(n) for n, one in zip(names, ones)])
-        .select(*KEY, "set", "slot", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"o{n}") for n in names])
+        ends.groupBy(*KEY, "set", "slot").agg(*[F.sum(step).alias(n) for n, step in steps.items()])
+        .select(*KEY, "set", "slot", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"o{n}") for n in steps])
+        .join(of, [F.col(k) == F.col(f"of_{k}") for k in KEY]).drop(*[f"of_{k}" for k in KEY])
     )
-    sign = F.when(F.col("turn") == 1, 1).otherwise(-1)
-    counted = (
-        running.join(offsets, [*KEY, "set", "slot"])
-        .groupBy("correlation_type", "alert_id", "set")
-        .agg(*[F.sum(sign * (F.col(n) + F.col(f"o{n}"))).alias(n) for n in names])
-        .select("correlation_type", "alert_id", "set", F.array(*names).alias("counts"))
+    # an alert that comes repeatedly counts what each of its rows sees
+    times = F.size(F.filter("copies", lambda a: a == F.col("alert.alert_id")))
+    counted = running.join(offsets, [*KEY, "set", "slot"]).where("turn = 0 and alert.alert_id is not null").select(
+        *KEY, "set", "event_id", F.col("at_us").alias("ts_us"), "alert.*", "kinds", (F.col("seq") + F.col("oseq")).alias("seq"),
+        F.array(*[times * (F.col(n) + F.col(f"o{n}")) for n in names]).alias("counts"),
     )
     if most > width:
-        counted = counted.groupBy("correlation_type", "alert_id").agg(F.array_sort(F.collect_list(F.struct("set", "counts"))).alias("sets"))
-        counted = counted.select("correlation_type", "alert_id", F.col("sets")[0]["set"].alias("set"), F.flatten(F.col("sets.counts")).alias("counts"))
-    # a trigger has all sets, from the first; the counts of an alert that asks for nothing aren't used
+        same = [*KEY, "alert_id", "ts_us"]
+        sets = counted.groupBy(*same).agg(F.array_sort(F.collect_set(F.struct("set", "counts"))).alias("sets"))
+        counted = counted.where("set = 0").drop("counts").join(sets.select(*same, F.flatten(F.col("sets.counts")).alias("counts")), same)
     found = F.transform(
         "kinds",
         lambda k, i: F.when(F.array_contains(F.col("asks"), k["no"]), F.get("counts", i) - (i == F.col("kind")).cast("bigint")).otherwise(0),
     )
-    scored = numbered.join(counted.drop("set"), ["correlation_type", "alert_id"]).withColumn("found", found)
-    return scored.select(
-        *parts.columns,
+    return counted.withColumn("found", found).select(
+        *parts.columns, "seq",
         F.aggregate("found", F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("partners"),
         F.filter("kinds", lambda k, i: (i == F.col("kind")) | (F.get("found", i) > 0)).alias("matched"),
     )
@@ -419,10 +424,6 @@ def _around(points: DataFrame) -> DataFrame:
     )
 
 
-def _arrival(prefix: str = "") -> Column:
-    return F.struct(F.col(f"{prefix}ts_us").alias("ts_us"), F.col(f"{prefix}event_id").alias("event_id"))
-
-
 def _last_growing(
     points: DataFrame, parts: DataFrame, triggers: DataFrame, use_prior: bool
 ) -> DataFrame:
@@ -434,23 +435,23 @@ def _last_growing(
     band = _around(
         points.where("size(siblings) > 1").select(
             *KEY, "episode", "bin", "window_us", F.col("ts_us").alias("p_ts_us"),
-            F.col("event_id").alias("p_event_id"), "siblings",
+            F.col("event_id").alias("p_event_id"), F.col("seq").alias("p_seq"), "siblings",
         )
     )
-    in_band = (F.col("ts_us") >= F.col("p_ts_us") - F.col("window_us")) & (_arrival() <= _arrival("p_"))
+    in_band = (F.col("ts_us") >= F.col("p_ts_us") - F.col("window_us")) & (F.col("seq") <= F.col("p_seq"))
     narrow = parts.drop("window_us")
     inside = narrow.join(band, [*KEY, "bin"]).where(in_band)
     if use_prior:
-        earlier = triggers.select(*KEY, "bin", "rule_order", "ts_us", "event_id")
+        earlier = triggers.select(*KEY, "bin", "rule_order", "ts_us", "seq")
         prior = (
             earlier.join(band.drop("siblings"), [*KEY, "bin"])
-            .where(in_band & (_arrival() < _arrival("p_")))
-            .groupBy(*KEY, "episode", "rule_order").agg(F.max(_arrival()).alias("key"))
+            .where(in_band & (F.col("seq") < F.col("p_seq")))
+            .groupBy(*KEY, "episode", "rule_order").agg(F.max("seq").alias("key"))
             .groupBy(*KEY, "episode").agg(F.collect_list(F.struct("rule_order", "key")).alias("prior"))
         )
         inside = inside.join(prior, [*KEY, "episode"], "left")
         known = F.coalesce(
-            F.exists("prior", lambda p: _takes(F.col("asked_by"), p["rule_order"]) & (p["key"] >= _arrival())),
+            F.exists("prior", lambda p: _takes(F.col("asked_by"), p["rule_order"]) & (p["key"] >= F.col("seq"))),
             F.lit(False),
         ) | (F.col("is_trigger") & (F.col("event_id") != F.col("p_event_id")))
         inside = inside.where(~known)
@@ -496,61 +497,67 @@ def episodes(
     detection: Sequence[DetectionRule] = BUILTIN_RULES,
     compat: bool = True,
 ) -> Correlations:
-    matches = correlation_matches(scored, rules, detection)
     triggers = scored.where("is_trigger")
 
-    # 1. episodes on one row per (type, entity, bin)
+    # 1. episodes on one row per (type, entity, bin). Over all alerts only numbers are aggregated, which needs no sorting
+    ours = {c: F.when(F.col("is_trigger"), F.col(c)) for c in ("ts_us", "seq")}
+    per_rule = stage(
+        correlation_matches(scored, rules, detection, keep=["seq", "is_trigger"]).groupBy(*KEY, "bin", "rule_order").agg(
+            F.max("window_us").alias("window_us"), F.max("severity").alias("severity"), F.count("*").alias("n"),
+            F.min("ts_us").alias("first_at"), F.min("seq").alias("first_seq"), F.max("ts_us").alias("last_at"), F.max("seq").alias("last_seq"),
+            F.min(ours["ts_us"]).alias("lo"), F.max(ours["ts_us"]).alias("hi"), F.max(ours["seq"]).alias("newest"),
+        ),
+        "per-rule",
+    )
     by_time = Window.partitionBy(*KEY).orderBy("bin")
-    bins = (
-        triggers.groupBy(*KEY, "bin")
-        .agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"), F.first("window_us").alias("window_us"))
+    bins = stage(
+        per_rule.groupBy(*KEY, "bin")
+        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("window_us").alias("window_us")).where("lo is not null")
         .withColumn("starts", (F.coalesce(F.col("lo") - F.lag("hi").over(by_time) > F.col("window_us"), F.lit(True))).cast("int"))
         .withColumn("episode", F.sum("starts").over(by_time))
-        .select(*KEY, "bin", "episode")
+        .select(*KEY, "bin", "episode"),
+        "bins",
     )
+    placed = per_rule.join(bins, [*KEY, "bin"])
 
     # 2. first and last trigger event of every episode, with the event's triggers in order
-    numbered = matches.join(bins, [*KEY, "bin"])
-    edge = numbered.groupBy(*KEY, "episode").agg(
-        F.min(F.struct("ts_us", "event_id", "bin")).alias("first"),
-        F.max(F.struct("ts_us", "event_id", "bin")).alias("last"),
-        F.max("severity").alias("severity"),
-        F.count("*").alias("trigger_count"),
-    )
-
-    def at(which: str) -> DataFrame:
-        where = edge.select(
-            *KEY, "episode", F.col(f"{which}.bin").alias("bin"), F.col(f"{which}.ts_us").alias("ts_us"),
-            F.col(f"{which}.event_id").alias("event_id"),
-        )
-        payload = F.struct(
-            "rule_order", "rule_id", "alert_id", "title", "description", "mitre_techniques", "evidence",
-            "correlation_rule_id",
-        )
-        return (
-            matches.join(where, [*KEY, "bin", "ts_us", "event_id"])
-            .groupBy(*KEY, "episode", "bin", "ts_us", "event_id")
-            .agg(F.first("window_us").alias("window_us"), F.collect_list(payload).alias("found"))
-            .withColumn(
-                "siblings",
-                F.array_sort("found", lambda a, b: a["rule_order"] - b["rule_order"]),
-            )
-            .drop("found")
-        )
-
-    opening, closing = at("first"), at("last")
+    edge = stage(
+        placed.groupBy(*KEY, "episode").agg(
+            F.max("window_us").alias("window_us"), F.min("first_at").alias("first_at"), F.min("first_seq").alias("first_seq"),
+            F.max("last_at").alias("last_at"), F.max("last_seq").alias("last_seq"),
+            F.max("severity").alias("severity"), F.sum("n").alias("trigger_count"),
+        ),
+        "edges",
+    )
+    ends = F.array(*[F.struct(F.lit(end).alias("end"), F.col(f"{end}_at").alias("at"), F.col(f"{end}_seq").alias("seq")) for end in ("first", "last")])
+    points = edge.select(*KEY, "episode", "window_us", F.explode(ends).alias("e")).select(
+        *KEY, "episode", _floor_div(F.col("e.at"), F.col("window_us")).alias("bin"), "e.seq", "e.end"
+    )
+    payload = F.struct(
+        "rule_order", "rule_id", "alert_id", "title", "description", "mitre_techniques", "evidence",
+        "correlation_rule_id",
+    )
+    at_ends = stage(
+        correlation_matches(scored.join(points, [*KEY, "bin", "seq"]), rules, detection, keep=["episode", "seq", "end"])
+        .groupBy(*KEY, "episode", "end", "bin", "ts_us", "event_id", "seq")
+        .agg(F.first("window_us").alias("window_us"), F.collect_list(payload).alias("found"))
+        .withColumn("siblings", F.array_sort("found", lambda a, b: a["rule_order"] - b["rule_order"]))
+        .drop("found"),
+        "at-ends",
+    )
+    opening, closing = [at_ends.where(F.col("end") == end).drop("end") for end in ("first", "last")]
 
     # 3. the first match: earliest alert and founding (smallest) alert id
     first = F.get("siblings", 0)
     lead = opening.select(
-        *KEY, "episode", "bin", "window_us", F.col("ts_us").alias("p_ts_us"), F.col("event_id").alias("p_event_id"),
+        *KEY, "episode", "bin", "window_us", F.col("ts_us").alias("p_ts_us"), F.col("seq").alias("p_seq"),
         first["rule_order"].alias("p_rule_order"), first["alert_id"].alias("p_alert_id"),
     )
     founding = (
         scored.drop("window_us").join(_around(lead), [*KEY, "bin"])
         .where(
             (F.col("ts_us") >= F.col("p_ts_us") - F.col("window_us"))
-            & (_arrival() <= _arrival("p_"))
+            & (F.col("seq") <= F.col("p_seq"))
             & ((F.col("alert_id") == F.col("p_alert_id")) | _takes(F.col("asked_by"), F.col("p_rule_order")))
         )
         .groupBy(*KEY, "episode")
@@ -575,14 +582,13 @@ def episodes(
     )
 
     # 5. members: an alert belongs to the episode of a trigger that takes it
-    stats = (
-        triggers.groupBy(*KEY, "bin", "rule_order")
-        .agg(F.max(_arrival()).alias("last_key"), F.min("ts_us").alias("first_us"))
-        .join(bins, [*KEY, "bin"])
+    stats = stage(
+        placed.where("newest is not null")
         .withColumn("ahead", F.explode(F.array(F.lit(0), F.lit(1))))
         .withColumn("bin", F.col("bin") - F.col("ahead"))
         .groupBy(*KEY, "bin")
-        .agg(F.collect_list(F.struct("ahead", "rule_order", "last_key", "first_us", "episode")).alias("stats"))
+        .agg(F.collect_list(F.struct("ahead", "rule_order", "newest", F.col("lo").alias("first_us"), "episode")).alias("stats")),
+        "stats",
     )
     takes = F.filter(
         "stats",
@@ -590,19 +596,19 @@ def episodes(
             _takes(F.col("asked_by"), s["rule_order"])
             & F.when(
                 s["ahead"] == 0,
-                F.when(s["rule_order"] == F.col("rule_order"), s["last_key"] > _arrival()).otherwise(s["last_key"] >= _arrival()),
+                F.when(s["rule_order"] == F.col("rule_order"), s["newest"] > F.col("seq")).otherwise(s["newest"] >= F.col("seq")),
             ).otherwise(s["first_us"] <= F.col("ts_us") + F.col("window_us"))
         )
         | (F.col("is_trigger") & (s["ahead"] == 0) & (s["rule_order"] == F.col("rule_order"))),
     )
     # a correlation's key needs its founding alert, so the small episode table joins first
-    names = opening.join(founding, [*KEY, "episode"]).select(
+    names = stage(opening.join(founding, [*KEY, "episode"]).select(
         *KEY, "episode", "first_seen", "founding_alert_id",
         short_id("corr-", F.col("correlation_type"), ":", F.col("entity_key"), ":", F.col("founding_alert_id")).alias("correlation_id"),
         first["correlation_rule_id"].alias("rule_id"), first["title"].alias("title"),
         first["mitre_techniques"].alias("mitre_techniques"),
         F.col("event_id").alias("founding_event_id"),
-    )
+    ), "names")
     members = (
         scored.join(stats, [*KEY, "bin"])
         .withColumn("hits", takes)
@@ -654,6 +660,7 @@ def episodes(
         .join(names.select(*KEY, "episode", "correlation_id", "founding_event_id"), [*KEY, "episode"])
         .select(F.col("founding_event_id").alias("event_id"), "correlation_id", F.lit("updated").alias("outcome"))
     )
+    numbered = scored.where("partners > 0").select(*KEY, "bin", "event_id", "alert_id").join(bins, [*KEY, "bin"])
     touched = (
         numbered.select(*KEY, "episode", "event_id").distinct()
         .join(names.select(*KEY, "episode", "correlation_id", "founding_event_id"), [*KEY, "episode"])

@@ -80,7 +80,7 @@ def _(ws):
 
 @query("c11_correlation_outcomes", BASE + "SELECT event_id, cid AS correlation_id, outcome FROM oc")
 def _(ws):
-    return ws.correlated.outcomes.select("event_id", "correlation_id", "outcome")
+    return ws.outcomes.select("event_id", "correlation_id", "outcome")
 
 
 @query("u02_custom_correlation_rule", with_(EV, AL) + """SELECT a.alert_id, 1+count(*) AS alert_count FROM al a JOIN al h ON a.rule_id='builtin-004' AND h.rule_id='builtin-003'

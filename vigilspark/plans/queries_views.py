@@ -430,7 +430,7 @@ SELECT ev.event_id, (SELECT count(*) FROM al WHERE al.event_id=ev.event_id) AS d
 FROM ev LEFT JOIN per ON per.event_id=ev.event_id""")
 def _(ws):
     ids = ws.incidents.select(F.get("correlation_ids", 0).alias("correlation_id"), "incident_id")
-    out = K.pipeline_result(ws.events, ws.alerts, ws.correlated.outcomes, ws.enrichments, ws.risks, ids)
+    out = K.pipeline_result(ws.events, ws.alerts, ws.outcomes, ws.enrichments, ws.risks, ids)
     return out.select(
         "event_id", "detection_matches", "correlations_created", "correlations_updated", "iocs_extracted",
         F.coalesce("last_risk_score", F.lit(-1)).alias("last_risk_score"),

@@ -91,9 +91,11 @@ class Workspace:
     @cached_property
     def correlated(self) -> C.Correlations:
         found = C.correlate(self.alerts)
-        return found._replace(
-            correlations=stage(found.correlations, "correlations"), outcomes=stage(found.outcomes, "outcomes")
-        )
+        return found._replace(correlations=stage(found.correlations, "correlations"))
+
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        return stage(self.correlated.outcomes, "outcomes")
 
     @property
     def correlations(self) -> DataFrame:
