@@ -156,3 +156,30 @@ def test_odd_documents(spark, odd_documents, no_documents):
             assert len(scores) == 2 * n and all(0 <= s <= 1 for s in scores)
         kept = toxicity.keep_civil(docs, toxicity.toxicity_model(docs, labels), 2.0)
         assert kept.columns == docs.columns and kept.count() == n
+
+
+def test_quality_is_fitted_on_all_labelled_documents(spark, monkeypatch):
+    """Every labelled document moves the moments, takes part in pairs and counts for the cut."""
+    monkeypatch.setattr(quality, "BLOCK_ROWS", 500)
+    text = lambda k: ("#" if k % 400 == 0 else "") + "word " * (k % 50 + 1) + f"x{k}"
+    docs = spark.range(8000).rdd.map(lambda r: (r.id, text(r.id))).toDF("doc_id bigint, text string")
+    labels = spark.range(8000).select(F.col("id").alias("doc_id"), (F.col("id") % 400 != 0).cast("int").alias("quality"))
+    paired, whole = [], quality.newton
+
+    def watched(sums, size):
+        paired.append(sums(np.zeros(size))[0])
+        return whole(sums, size)
+
+    monkeypatch.setattr(quality, "newton", watched)
+    weights, cut, _ = quality.quality_model(docs, labels, held=-1)
+    assert paired[0] >= quality.PAIRS // 2 * 8000  # 20 rows of the rarer label are paired with all others
+    scores = [quality.features(text(k)) @ weights for k in range(8000)]
+    assert max(scores[::400]) < cut + 1e-4 and sum(s < cut - 1e-4 for s in scores) <= 20
+    alike, n = quality.labelled_features(docs.union(docs), labels, 5, -1), 8000
+    assert alike.count() == n
+
+
+def test_score_at_a_rank(spark):
+    values = sorted(float(v) for v in np.random.default_rng(5).normal(size=3000).round(2))
+    scores = spark.createDataFrame([(v,) for v in values], "score double")
+    assert [quality._at_rank(scores, k, few=10, bins=8) for k in (0, 1, 1500, 2999)] == [values[k] for k in (0, 1, 1500, 2999)]
