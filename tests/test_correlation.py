@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
@@ -186,3 +187,35 @@ def test_arrival_numbers_follow_time_then_event(spark):
     assert rows(scored, "event_id", "rule_id", "seq") == [
         ("a", "builtin-003", 2), ("b", "builtin-003", 4), ("b", "builtin-005", 4), ("c", "builtin-003", 5), ("d", "builtin-003", 1),
     ]
+
+
+def lambdas(plan):
+    """The bodies of the lambda functions in a plan's text."""
+    for at in re.finditer(r"lambdafunction\(", plan):
+        depth = 1
+        for i in range(at.end(), len(plan)):
+            depth += {"(": 1, ")": -1}.get(plan[i], 0)
+            if depth == 0:
+                yield plan[at.end():i]
+                break
+
+
+def test_counts_are_not_formed_anew_for_every_kind(spark):
+    alerts = frame(spark, [alert(f"e{i}", rule, 60 * i, host="h") for i, rule in enumerate(sorted(ORDER))])
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    try:
+        scored = C.score_participations(C.participations(alerts, C.all_rules()))
+        plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert "oc0#" in plan and plan.count("filter(copies#") == 1
+    assert not [body for body in lambdas(plan) if "oc0#" in body]
+
+
+def test_every_alert_has_one_episode_in_its_bin_or_the_next(spark):
+    told = [("a", "builtin-004", 0), ("b", "builtin-002", 1700), ("c", "builtin-004", 1900), ("d", "builtin-004", 9000), ("e", "builtin-002", 9100),
+            ("f", "builtin-004", 9200), ("g", "builtin-004", 20000)]
+    found = C.correlate(frame(spark, [alert(e, rule, ts, host="h") for e, rule, ts in told]))
+    members = found.members.where("correlation_type = 'process_network_sequence'")
+    assert rows(members, "event_id") == [("a",), ("b",), ("c",), ("d",), ("e",), ("f",)]
+    assert sorted(r[0] for r in members.groupBy("correlation_id").count().select("count").collect()) == [3, 3]

@@ -24,6 +24,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -267,33 +269,55 @@ def score_participations(parts: DataFrame, columns: int = KINDS_AT_ONCE) -> Data
     alerts in the match, once each, the alert's own included) and ``seq``, a number that orders the
     alerts of one (type, entity) by arrival; alerts of one event have the same. A kind is a rule, at a
     level where levels matter; kinds are numbered within their entity, so any number of rules and
-    severities does. Up to ``columns`` kinds are counted side by side, more in further rows.
+    severities does. Up to ``columns`` kinds (62 at most) are counted side by side, more in further rows.
 
     An alert is shuffled twice: as itself, and without its columns one window later, where it leaves
     the band of the alerts there.
     """
+    told = F.collect_set(F.struct(F.col("rule_no").alias("no"), "level", "asks"))
     kinds = stage(
-        parts.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct(F.col("rule_no").alias("no"), F.col("level").alias("level")))).alias("kinds")),
+        parts.groupBy(*KEY).agg(told.alias("told")).withColumn(
+            "kinds", F.array_sort(F.array_distinct(F.transform("told", lambda t: F.struct(t["no"].alias("no"), t["level"].alias("level")))))
+        ),
         "kinds",
     )
     most = kinds.agg(F.max(F.size("kinds"))).first()[0] or 1
-    names = [f"c{i}" for i in range(min(columns, most))]
+    names = [f"c{i}" for i in range(min(columns, most, 62))]
     width = len(names)
     of = kinds.select(*[F.col(k).alias(f"of_{k}") for k in KEY], "kinds")
-    mine = F.struct(F.col("rule_no").alias("no"), F.col("level").alias("level"))
-    numbered = parts.join(of, [F.col(k) == F.col(f"of_{k}") for k in KEY]).withColumn("kind", (F.array_position("kinds", mine) - 1).cast("int"))
+    sets = F.sequence(F.lit(0), F.floor((F.size("kinds") - 1) / width).cast("int"))
+
+    def wanted(a_set: Column) -> Column:
+        """The kinds of a set that the alert asks for, one bit each."""
+        bits = F.transform(
+            F.slice("kinds", a_set * width + 1, width),
+            lambda k, i: F.when(F.array_contains("t.asks", k["no"]), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(0),
+        )
+        return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+
+    # found once per entity and kind, not once per alert
+    mine = F.struct(F.col("t.no").alias("no"), F.col("t.level").alias("level"))
+    own = kinds.withColumn("t", F.explode("told")).select(
+        *[F.col(k).alias(f"of_{k}") for k in KEY], F.col("t.no").alias("of_no"), F.col("t.level").alias("of_level"), F.col("t.asks").alias("of_asks"),
+        (F.array_position("kinds", mine) - 1).cast("int").alias("kind"), F.transform(sets, wanted).alias("wants"),
+    )
+    numbered = parts.join(own, [
+        *[F.col(k) == F.col(f"of_{k}") for k in KEY], F.col("rule_no").eqNullSafe(F.col("of_no")), F.col("level").eqNullSafe(F.col("of_level")),
+        F.col("asks") == F.col("of_asks"),
+    ])
 
     # turn 0: the alert itself, in every set of kinds; turn 1: it leaves, in the set of its own kind
     own_set = F.floor(F.col("kind") / width).cast("int")
-    sets = F.sequence(F.lit(0), F.floor((F.size("kinds") - 1) / width).cast("int"))
-    here = F.transform(sets, lambda i: F.struct(F.lit(0).alias("turn"), F.col("ts_us").alias("at_us"), i.alias("set")))
-    gone = F.array(F.struct(F.lit(1).alias("turn"), (F.col("ts_us") + F.col("window_us")).alias("at_us"), own_set.alias("set")))
+    here = F.transform("wants", lambda w, i: F.struct(F.lit(0).alias("turn"), F.col("ts_us").alias("at_us"), i.alias("set"), w.alias("wants")))
+    gone = F.array(F.struct(
+        F.lit(1).alias("turn"), (F.col("ts_us") + F.col("window_us")).alias("at_us"), own_set.alias("set"), F.lit(0).cast("bigint").alias("wants"),
+    ))
     carried = [c for c in parts.columns if c not in (*KEY, "event_id", "ts_us")]
     itself = F.col("e.turn") == 0
     ends = numbered.withColumn("e", F.explode(F.when(F.size("asked_by") > 0, F.concat(here, gone)).otherwise(here))).select(
         *KEY, "e.set", _floor_div(F.col("e.at_us"), _floor_div(F.col("window_us"), F.lit(SLOTS_PER_WINDOW))).alias("slot"),
-        "e.at_us", "e.turn", F.when(itself, F.col("event_id")).alias("event_id"),
-        (F.col("kind") - F.col("e.set") * width).alias("column"), F.when(itself, F.struct("kind", *carried)).alias("alert"),
+        "e.at_us", "e.turn", F.when(itself, F.col("event_id")).alias("event_id"), "e.wants",
+        (F.col("kind") - F.col("e.set") * width).alias("column"), F.when(itself, F.struct(*carried)).alias("alert"),
     )
     sign = F.when(F.col("turn") == 0, 1).otherwise(-1)
     steps = {n: F.when(F.col("column") == i, sign).otherwise(0).cast("bigint") for i, n in enumerate(names)}
@@ -310,24 +334,36 @@ def score_participations(parts: DataFrame, columns: int = KINDS_AT_ONCE) -> Data
         .join(of, [F.col(k) == F.col(f"of_{k}") for k in KEY]).drop(*[f"of_{k}" for k in KEY])
     )
     # an alert that comes repeatedly counts what each of its rows sees
-    times = F.size(F.filter("copies", lambda a: a == F.col("alert.alert_id")))
-    counted = running.join(offsets, [*KEY, "set", "slot"]).where("turn = 0 and alert.alert_id is not null").select(
-        *KEY, "set", "event_id", F.col("at_us").alias("ts_us"), "alert.*", "kinds", (F.col("seq") + F.col("oseq")).alias("seq"),
-        F.array(*[times * (F.col(n) + F.col(f"o{n}")) for n in names]).alias("counts"),
-    )
+    times = F.when(F.size("copies") < 2, 1).otherwise(F.size(F.filter("copies", lambda a: a == F.col("alert.alert_id"))))
+    counted = (
+        running.where("turn = 0 and alert.alert_id is not null").withColumn("times", times)
+        .join(offsets, [*KEY, "set", "slot"])
+    )
+    bit = [F.lit(1 << i).cast("bigint") for i in range(width)]
+    found = [F.col("times") * (F.col(n) + F.col(f"o{n}")) - (F.col("column") == i).cast("bigint") for i, n in enumerate(names)]
+    asked = [F.col("wants").bitwiseAND(b) != 0 for b in bit]
+    partners = reduce(add, [F.when(a, n).otherwise(0) for a, n in zip(asked, found)])
+    present_bits = reduce(add, [F.when((F.col("column") == i) | (a & (n > 0)), b).otherwise(0) for i, (a, n, b) in enumerate(zip(asked, found, bit))])
+    # the filter also keeps these long sums out of one whole-stage method, which would be too long to be compiled
+    in_set = F.filter("kinds", lambda k, i: F.floor(i / width) == F.col("set"))
+    counted = counted.select(
+        *KEY, "set", "event_id", F.col("at_us").alias("ts_us"), "alert.*", in_set.alias("kinds"), (F.col("seq") + F.col("oseq")).alias("seq"),
+        partners.alias("partners"), present_bits.alias("bits"),
+    )
+    # named twice, the bits are computed before; named in the lambda alone, Spark computes them anew for every kind
+    matched = F.when(F.col("bits") == 0, F.slice("kinds", 1, 0)).otherwise(F.filter(
+        "kinds",
+        lambda k, i: F.call_function("shiftright", F.col("bits"), i).bitwiseAND(F.lit(1).cast("bigint")) != 0,
+    ))
+    counted = counted.withColumn("matched", matched).drop("kinds", "bits")
     if most > width:
         same = [*KEY, "alert_id", "ts_us"]
-        sets = counted.groupBy(*same).agg(F.array_sort(F.collect_set(F.struct("set", "counts"))).alias("sets"))
-        counted = counted.where("set = 0").drop("counts").join(sets.select(*same, F.flatten(F.col("sets.counts")).alias("counts")), same)
-    found = F.transform(
-        "kinds",
-        lambda k, i: F.when(F.array_contains(F.col("asks"), k["no"]), F.get("counts", i) - (i == F.col("kind")).cast("bigint")).otherwise(0),
-    )
-    return counted.withColumn("found", found).select(
-        *parts.columns, "seq",
-        F.aggregate("found", F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("partners"),
-        F.filter("kinds", lambda k, i: (i == F.col("kind")) | (F.get("found", i) > 0)).alias("matched"),
-    )
+        sums = counted.groupBy(*same).agg(F.array_sort(F.collect_set(F.struct("set", "partners", "matched"))).alias("sets"))
+        counted = counted.where("set = 0").drop("partners", "matched").join(sums, same).withColumns({
+            "partners": F.aggregate("sets.partners", F.lit(0).cast("bigint"), lambda acc, x: acc + x),
+            "matched": F.flatten("sets.matched"),
+        })
+    return counted.select(*parts.columns, "seq", "partners", "matched")
 
 
 # --- matches (C08) ----------------------------------------------------------------------
@@ -581,26 +617,30 @@ def episodes(
         )
     )
 
-    # 5. members: an alert belongs to the episode of a trigger that takes it
-    stats = stage(
+    # 5. members: an alert belongs to the episode of a trigger that takes it, in its bin or the next one.
+    # For every rule of an alert, the last such trigger of its bin and the first of the next one are found before
+    takers = scored.select("correlation_type", F.col("rule_order").alias("own_order"), "asked_by").distinct()
+    same_rule = F.col("rule_order") == F.col("own_order")
+    taken = _takes(F.col("asked_by"), F.col("rule_order"))
+    here = F.col("ahead") == 0
+    reach = stage(
         placed.where("newest is not null")
         .withColumn("ahead", F.explode(F.array(F.lit(0), F.lit(1))))
         .withColumn("bin", F.col("bin") - F.col("ahead"))
-        .groupBy(*KEY, "bin")
-        .agg(F.collect_list(F.struct("ahead", "rule_order", "newest", F.col("lo").alias("first_us"), "episode")).alias("stats")),
-        "stats",
-    )
-    takes = F.filter(
-        "stats",
-        lambda s: (
-            _takes(F.col("asked_by"), s["rule_order"])
-            & F.when(
-                s["ahead"] == 0,
-                F.when(s["rule_order"] == F.col("rule_order"), s["newest"] > F.col("seq")).otherwise(s["newest"] >= F.col("seq")),
-            ).otherwise(s["first_us"] <= F.col("ts_us") + F.col("window_us"))
-        )
-        | (F.col("is_trigger") & (s["ahead"] == 0) & (s["rule_order"] == F.col("rule_order"))),
+        .join(F.broadcast(takers), "correlation_type")
+        .where(taken | (here & same_rule))
+        .groupBy(*KEY, "bin", F.col("own_order").alias("rule_order"), "asked_by")
+        .agg(
+            F.max(F.when(here & taken & ~same_rule, F.col("newest"))).alias("newest_other"),
+            F.max(F.when(here & taken & same_rule, F.col("newest"))).alias("newest_own"),
+            F.max(F.when(here, F.col("episode"))).alias("episode_here"),
+            F.min(F.when(~here, F.col("lo"))).alias("first_ahead"),
+            F.max(F.when(~here, F.col("episode"))).alias("episode_ahead"),
+        ),
+        "reach",
     )
+    joins_here = F.col("is_trigger") | (F.col("newest_other") >= F.col("seq")) | (F.col("newest_own") > F.col("seq"))
+    joins_ahead = F.col("first_ahead") <= F.col("ts_us") + F.col("window_us")
     # a correlation's key needs its founding alert, so the small episode table joins first
     names = stage(opening.join(founding, [*KEY, "episode"]).select(
         *KEY, "episode", "first_seen", "founding_alert_id",
@@ -610,13 +650,12 @@ def episodes(
         F.col("event_id").alias("founding_event_id"),
     ), "names")
     members = (
-        scored.join(stats, [*KEY, "bin"])
-        .withColumn("hits", takes)
-        .where("size(hits) > 0")
+        scored.join(reach, [*KEY, "bin", "rule_order", "asked_by"])
         .select(
-            *KEY, F.get("hits", 0)["episode"].alias("episode"), "alert_id", "event_id", "timestamp", "rule_id",
-            "severity", "dataset_id",
+            *KEY, F.when(joins_here, F.col("episode_here")).when(joins_ahead, F.col("episode_ahead")).alias("episode"),
+            "alert_id", "event_id", "timestamp", "rule_id", "severity", "dataset_id",
         )
+        .where("episode is not null")
         .join(names.select(*KEY, "episode", "correlation_id"), [*KEY, "episode"])
         .select("correlation_id", *KEY, "alert_id", "event_id", "timestamp", "rule_id", "severity", "dataset_id")
     )
