@@ -219,3 +219,11 @@ def test_every_alert_has_one_episode_in_its_bin_or_the_next(spark):
     members = found.members.where("correlation_type = 'process_network_sequence'")
     assert rows(members, "event_id") == [("a",), ("b",), ("c",), ("d",), ("e",), ("f",)]
     assert sorted(r[0] for r in members.groupBy("correlation_id").count().select("count").collect()) == [3, 3]
+
+
+def test_an_alert_without_rule_order_can_be_a_member(spark):
+    told = [("a", "builtin-004", 0), ("b", "builtin-002", 600)]
+    alerts = frame(spark, [alert(e, rule, ts, host="h") for e, rule, ts in told])
+    alerts = alerts.withColumn("rule_order", F.when(F.col("event_id") != "a", F.col("rule_order")))
+    members = C.correlate(alerts).members.where("correlation_type = 'process_network_sequence'")
+    assert rows(members, "event_id") == [("a",), ("b",)]

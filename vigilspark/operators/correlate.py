@@ -620,7 +620,7 @@ def episodes(
     # 5. members: an alert belongs to the episode of a trigger that takes it, in its bin or the next one.
     # For every rule of an alert, the last such trigger of its bin and the first of the next one are found before
     takers = scored.select("correlation_type", F.col("rule_order").alias("own_order"), "asked_by").distinct()
-    same_rule = F.col("rule_order") == F.col("own_order")
+    same_rule = F.col("rule_order").eqNullSafe(F.col("own_order"))
     taken = _takes(F.col("asked_by"), F.col("rule_order"))
     here = F.col("ahead") == 0
     reach = stage(
@@ -629,7 +629,7 @@ def episodes(
         .withColumn("bin", F.col("bin") - F.col("ahead"))
         .join(F.broadcast(takers), "correlation_type")
         .where(taken | (here & same_rule))
-        .groupBy(*KEY, "bin", F.col("own_order").alias("rule_order"), "asked_by")
+        .groupBy(*KEY, "bin", "own_order", F.col("asked_by").alias("own_asked_by"))
         .agg(
             F.max(F.when(here & taken & ~same_rule, F.col("newest"))).alias("newest_other"),
             F.max(F.when(here & taken & same_rule, F.col("newest"))).alias("newest_own"),
@@ -650,7 +650,10 @@ def episodes(
         F.col("event_id").alias("founding_event_id"),
     ), "names")
     members = (
-        scored.join(reach, [*KEY, "bin", "rule_order", "asked_by"])
+        scored.join(reach.withColumnsRenamed({k: f"of_{k}" for k in (*KEY, "bin")}), [
+            *[F.col(k) == F.col(f"of_{k}") for k in (*KEY, "bin")], F.col("rule_order").eqNullSafe(F.col("own_order")),
+            F.col("asked_by") == F.col("own_asked_by"),
+        ])
         .select(
             *KEY, F.when(joins_here, F.col("episode_here")).when(joins_ahead, F.col("episode_ahead")).alias("episode"),
             "alert_id", "event_id", "timestamp", "rule_id", "severity", "dataset_id",
