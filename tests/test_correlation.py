@@ -180,6 +180,20 @@ def test_an_alert_is_shuffled_once_with_its_columns(spark):
     assert keys and not any("alert_id" in k for k in keys)
 
 
+def test_what_follows_from_the_time_is_not_shuffled(spark):
+    alerts = frame(spark, [alert(f"e{i}", "builtin-003", 60 * i, host="h", user="u") for i in range(8)])
+    parts = C.participations(alerts, C.all_rules())
+    scored = C.score_participations(parts)
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    try:
+        plan = C.score_participations(parts)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert "alert_id, alert_id#" in plan and "timestamp, timestamp#" not in plan and "bin, bin#" not in plan
+    same = ["correlation_type", "alert_id", "timestamp", "ts_us", "bin"]
+    assert scored.columns[: len(parts.columns)] == parts.columns and rows(scored, *same) == rows(parts, *same)
+
+
 def test_arrival_numbers_follow_time_then_event(spark):
     told = [("b", "builtin-003", 60), ("b", "builtin-005", 60), ("a", "builtin-003", 60), ("c", "builtin-003", 4000), ("d", "builtin-003", 0)]
     alerts = frame(spark, [alert(e, rule, ts, host="h") for e, rule, ts in told])

@@ -312,7 +312,8 @@ def score_participations(parts: DataFrame, columns: int = KINDS_AT_ONCE) -> Data
     gone = F.array(F.struct(
         F.lit(1).alias("turn"), (F.col("ts_us") + F.col("window_us")).alias("at_us"), own_set.alias("set"), F.lit(0).cast("bigint").alias("wants"),
     ))
-    carried = [c for c in parts.columns if c not in (*KEY, "event_id", "ts_us")]
+    # time and bin follow from the time in microseconds, so they aren't shuffled
+    carried = [c for c in parts.columns if c not in (*KEY, "event_id", "ts_us", "timestamp", "bin")]
     itself = F.col("e.turn") == 0
     ends = numbered.withColumn("e", F.explode(F.when(F.size("asked_by") > 0, F.concat(here, gone)).otherwise(here))).select(
         *KEY, "e.set", _floor_div(F.col("e.at_us"), _floor_div(F.col("window_us"), F.lit(SLOTS_PER_WINDOW))).alias("slot"),
@@ -349,7 +350,7 @@ def score_participations(parts: DataFrame, columns: int = KINDS_AT_ONCE) -> Data
     counted = counted.select(
         *KEY, "set", "event_id", F.col("at_us").alias("ts_us"), "alert.*", in_set.alias("kinds"), (F.col("seq") + F.col("oseq")).alias("seq"),
         partners.alias("partners"), present_bits.alias("bits"),
-    )
+    ).withColumns({"timestamp": F.timestamp_micros("ts_us"), "bin": _floor_div(F.col("ts_us"), F.col("window_us"))})
     # named twice, the bits are computed before; named in the lambda alone, Spark computes them anew for every kind
     matched = F.when(F.col("bits") == 0, F.slice("kinds", 1, 0)).otherwise(F.filter(
         "kinds",
@@ -597,7 +598,7 @@ def episodes(
             & ((F.col("alert_id") == F.col("p_alert_id")) | _takes(F.col("asked_by"), F.col("p_rule_order")))
         )
         .groupBy(*KEY, "episode")
-        .agg(F.min("timestamp").alias("first_seen"), F.min("alert_id").alias("founding_alert_id"))
+        .agg(F.timestamp_micros(F.min("ts_us")).alias("first_seen"), F.min("alert_id").alias("founding_alert_id"))
     )
 
     # 4. the last trigger that added something decides description and evidence
@@ -634,13 +635,13 @@ def episodes(
             F.max(F.when(here & taken & ~same_rule, F.col("newest"))).alias("newest_other"),
             F.max(F.when(here & taken & same_rule, F.col("newest"))).alias("newest_own"),
             F.max(F.when(here, F.col("episode"))).alias("episode_here"),
-            F.min(F.when(~here, F.col("lo"))).alias("first_ahead"),
+            F.min(F.when(~here, F.col("lo") - F.col("window_us"))).alias("from_ahead"),
             F.max(F.when(~here, F.col("episode"))).alias("episode_ahead"),
         ),
         "reach",
     )
     joins_here = F.col("is_trigger") | (F.col("newest_other") >= F.col("seq")) | (F.col("newest_own") > F.col("seq"))
-    joins_ahead = F.col("first_ahead") <= F.col("ts_us") + F.col("window_us")
+    joins_ahead = F.col("from_ahead") <= F.col("ts_us")
     # a correlation's key needs its founding alert, so the small episode table joins first
     names = stage(opening.join(founding, [*KEY, "episode"]).select(
         *KEY, "episode", "first_seen", "founding_alert_id",
@@ -656,7 +657,7 @@ def episodes(
         ])
         .select(
             *KEY, F.when(joins_here, F.col("episode_here")).when(joins_ahead, F.col("episode_ahead")).alias("episode"),
-            "alert_id", "event_id", "timestamp", "rule_id", "severity", "dataset_id",
+            "alert_id", "event_id", F.timestamp_micros("ts_us").alias("timestamp"), "rule_id", "severity", "dataset_id",
         )
         .where("episode is not null")
         .join(names.select(*KEY, "episode", "correlation_id"), [*KEY, "episode"])
