@@ -60,7 +60,8 @@ def merge_incidents(
     title, description and severity follow the correlation.
     """
     key = ["incident_id", "alert_id", "event_id"]
-    all_members = stored_members.select(*key).unionByName(members.select(*key)).distinct()
+    # dealt by event once: the same rows are made distinct and then counted
+    all_members = stored_members.select(*key).unionByName(members.select(*key)).repartition("incident_id", "event_id").distinct()
     counts = (
         all_members.groupBy("incident_id", "event_id").agg(F.count("*").alias("n"))
         .groupBy("incident_id").agg(F.sum("n").alias("alert_count"), F.count("*").alias("event_count"))
