@@ -125,7 +125,7 @@ SELECT iid AS incident_id, arg_max(st, (tm, st)) AS status FROM ch GROUP BY 1"""
 def _(ws):
     n = F.col("n")
     numbers = ws.events.select("event_id", F.col("timestamp").alias("ts"), F.substring("event_id", 5, 20).cast("bigint").alias("n"))
-    changes = ws.incident_members.select("incident_id", "event_id").distinct().join(numbers, "event_id").select(
+    changes = ws.incident_members.select("incident_id", "event_id").repartition("event_id").distinct().join(numbers, "event_id").select(
         "incident_id", "ts", F.when(n % 3 == 0, "closed").when(n % 3 == 1, "resolved").otherwise("investigating").alias("status"),
         F.lit("analyst").alias("actor"),
     )
