@@ -149,7 +149,8 @@ def incident_iocs(members: DataFrame, events: DataFrame, alerts: DataFrame | Non
 
     Indicators are extracted once per event, however many incidents the event belongs to.
     """
-    pairs = members.select("incident_id", "event_id").distinct()
+    # dealt by event once, for the distinct pairs and the join
+    pairs = members.select("incident_id", "event_id").repartition("event_id").distinct()
     found = pairs.join(extract_iocs(events), "event_id")
     if alerts is not None:
         own = alerts.select(
