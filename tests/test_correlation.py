@@ -194,6 +194,19 @@ def test_what_follows_from_the_time_is_not_shuffled(spark):
     assert scored.columns[: len(parts.columns)] == parts.columns and rows(scored, *same) == rows(parts, *same)
 
 
+def test_members_and_totals_are_found_by_bin(spark, monkeypatch):
+    told = [("builtin-003", 60 * i) for i in range(12)] + [("builtin-005", 400), ("builtin-002", 1900)]
+    alerts = frame(spark, [alert(f"e{i:02d}", rule, ts, host="h", user="u") for i, (rule, ts) in enumerate(told)])
+    staged, stage = {}, C.stage
+    monkeypatch.setattr(C, "stage", lambda df, name: staged.setdefault(name, stage(df, name)))
+    C.correlate(alerts)
+    key = ["correlation_type", "entity_key", "bin"]
+    triggers = staged["scored"].where("is_trigger").select(*key).distinct()
+    assert rows(staged["reach"], *key) == rows(triggers, *key)
+    totals = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", C.score_participations(staged["participations"])._jdf.queryExecution().executedPlan().toString())
+    assert any("bin" in t for t in totals) and not any("slot" in t for t in totals)
+
+
 def test_arrival_numbers_follow_time_then_event(spark):
     told = [("b", "builtin-003", 60), ("b", "builtin-005", 60), ("a", "builtin-003", 60), ("c", "builtin-003", 4000), ("d", "builtin-003", 0)]
     alerts = frame(spark, [alert(e, rule, ts, host="h") for e, rule, ts in told])

@@ -8,9 +8,9 @@ episode, which is one correlation.
 
 Nothing here joins alerts with alerts. Time is cut into bins of length W per entity:
 
-* counts of partners in a band are differences of running counts. They are computed in
-  slots of W/16, with slot totals (pre-aggregated) supplying the offset, so one task sees
-  one entity for one slot, never a whole entity;
+* counts of partners in a band are running counts within a bin. An alert enters its own bin and
+  leaves the next one, so what a bin opens with is what leaves it, and one task sees one
+  entity for one bin. Only the numbering by arrival needs a total of the bins before;
 * two triggers in one bin are always in the same episode, so episodes are found on one row
   per (type, entity, bin);
 * whether an alert belongs to an episode depends only on the last trigger of its bin and
@@ -35,7 +35,6 @@ from ..functions import present, short_id
 from ..session import stage
 from .detect import BUILTIN_RULES, DetectionRule
 
-SLOTS_PER_WINDOW = 16
 #: Kinds of alerts that are counted side by side.
 KINDS_AT_ONCE = 32
 KEY = ["correlation_type", "entity_key"]
@@ -272,7 +271,8 @@ def score_participations(parts: DataFrame, columns: int = KINDS_AT_ONCE) -> Data
     severities does. Up to ``columns`` kinds (62 at most) are counted side by side, more in further rows.
 
     An alert is shuffled twice: as itself, and without its columns one window later, where it leaves
-    the band of the alerts there.
+    the band of the alerts there. That is always in the next bin, and every alert that leaves a bin
+    was there when it began.
     """
     told = F.collect_set(F.struct(F.col("rule_no").alias("no"), "level", "asks"))
     kinds = stage(
@@ -316,29 +316,31 @@ def score_participations(parts: DataFrame, columns: int = KINDS_AT_ONCE) -> Data
     carried = [c for c in parts.columns if c not in (*KEY, "event_id", "ts_us", "timestamp", "bin")]
     itself = F.col("e.turn") == 0
     ends = numbered.withColumn("e", F.explode(F.when(F.size("asked_by") > 0, F.concat(here, gone)).otherwise(here))).select(
-        *KEY, "e.set", _floor_div(F.col("e.at_us"), _floor_div(F.col("window_us"), F.lit(SLOTS_PER_WINDOW))).alias("slot"),
+        *KEY, "e.set", _floor_div(F.col("e.at_us"), F.col("window_us")).alias("bin"),
         "e.at_us", "e.turn", F.when(itself, F.col("event_id")).alias("event_id"), "e.wants",
         (F.col("kind") - F.col("e.set") * width).alias("column"), F.when(itself, F.struct(*carried)).alias("alert"),
     )
-    sign = F.when(F.col("turn") == 0, 1).otherwise(-1)
-    steps = {n: F.when(F.col("column") == i, sign).otherwise(0).cast("bigint") for i, n in enumerate(names)}
-    steps["seq"] = (F.col("turn") == 0).cast("bigint")
-    in_slot = Window.partitionBy(*KEY, "set", "slot").orderBy("at_us", "turn", "event_id")
-    together = Window.partitionBy(*KEY, "set", "slot", "at_us", "turn", "event_id")
-    running = ends.withColumns({n: F.sum(step).over(in_slot) for n, step in steps.items()}).withColumn(
-        "copies", F.collect_list("alert.alert_id").over(together)
-    )
-    before = Window.partitionBy(*KEY, "set").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    comes, leaves = F.col("turn") == 0, F.col("turn") == 1
+    in_bin = Window.partitionBy(*KEY, "set", "bin").orderBy("at_us", "turn", "event_id")
+    whole_bin = in_bin.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    together = Window.partitionBy(*KEY, "set", "bin", "at_us", "turn", "event_id")
+    sign = F.when(comes, 1).otherwise(-1)
+    running = ends.withColumns({
+        **{n: F.sum(F.when(F.col("column") == i, sign).otherwise(0).cast("bigint")).over(in_bin) for i, n in enumerate(names)},
+        **{f"o{n}": F.sum((leaves & (F.col("column") == i)).cast("bigint")).over(whole_bin) for i, n in enumerate(names)},
+        "place": F.sum(comes.cast("bigint")).over(in_bin),
+    }).withColumn("copies", F.collect_list("alert.alert_id").over(together))
+    before = Window.partitionBy(*KEY, "set").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ends.groupBy(*KEY, "set", "slot").agg(*[F.sum(step).alias(n) for n, step in steps.items()])
-        .select(*KEY, "set", "slot", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"o{n}") for n in steps])
+        ends.where(comes).groupBy(*KEY, "set", "bin").agg(F.count("*").alias("places"))
+        .select(*KEY, "set", "bin", F.coalesce(F.sum("places").over(before), F.lit(0)).alias("earlier"))
         .join(of, [F.col(k) == F.col(f"of_{k}") for k in KEY]).drop(*[f"of_{k}" for k in KEY])
     )
     # an alert that comes repeatedly counts what each of its rows sees
     times = F.when(F.size("copies") < 2, 1).otherwise(F.size(F.filter("copies", lambda a: a == F.col("alert.alert_id"))))
     counted = (
         running.where("turn = 0 and alert.alert_id is not null").withColumn("times", times)
-        .join(offsets, [*KEY, "set", "slot"])
+        .join(offsets, [*KEY, "set", "bin"])
     )
     bit = [F.lit(1 << i).cast("bigint") for i in range(width)]
     found = [F.col("times") * (F.col(n) + F.col(f"o{n}")) - (F.col("column") == i).cast("bigint") for i, n in enumerate(names)]
@@ -348,9 +350,10 @@ def score_participations(parts: DataFrame, columns: int = KINDS_AT_ONCE) -> Data
     # the filter also keeps these long sums out of one whole-stage method, which would be too long to be compiled
     in_set = F.filter("kinds", lambda k, i: F.floor(i / width) == F.col("set"))
     counted = counted.select(
-        *KEY, "set", "event_id", F.col("at_us").alias("ts_us"), "alert.*", in_set.alias("kinds"), (F.col("seq") + F.col("oseq")).alias("seq"),
+        *KEY, "set", "event_id", F.col("at_us").alias("ts_us"), "alert.*", "bin", in_set.alias("kinds"),
+        (F.col("earlier") + F.col("place")).alias("seq"),
         partners.alias("partners"), present_bits.alias("bits"),
-    ).withColumns({"timestamp": F.timestamp_micros("ts_us"), "bin": _floor_div(F.col("ts_us"), F.col("window_us"))})
+    ).withColumn("timestamp", F.timestamp_micros("ts_us"))
     # named twice, the bits are computed before; named in the lambda alone, Spark computes them anew for every kind
     matched = F.when(F.col("bits") == 0, F.slice("kinds", 1, 0)).otherwise(F.filter(
         "kinds",
@@ -619,29 +622,7 @@ def episodes(
     )
 
     # 5. members: an alert belongs to the episode of a trigger that takes it, in its bin or the next one.
-    # For every rule of an alert, the last such trigger of its bin and the first of the next one are found before
-    takers = scored.select("correlation_type", F.col("rule_order").alias("own_order"), "asked_by").distinct()
-    same_rule = F.col("rule_order").eqNullSafe(F.col("own_order"))
-    taken = _takes(F.col("asked_by"), F.col("rule_order"))
-    here = F.col("ahead") == 0
-    reach = stage(
-        placed.where("newest is not null")
-        .withColumn("ahead", F.explode(F.array(F.lit(0), F.lit(1))))
-        .withColumn("bin", F.col("bin") - F.col("ahead"))
-        .join(F.broadcast(takers), "correlation_type")
-        .where(taken | (here & same_rule))
-        .groupBy(*KEY, "bin", "own_order", F.col("asked_by").alias("own_asked_by"))
-        .agg(
-            F.max(F.when(here & taken & ~same_rule, F.col("newest"))).alias("newest_other"),
-            F.max(F.when(here & taken & same_rule, F.col("newest"))).alias("newest_own"),
-            F.max(F.when(here, F.col("episode"))).alias("episode_here"),
-            F.min(F.when(~here, F.col("lo") - F.col("window_us"))).alias("from_ahead"),
-            F.max(F.when(~here, F.col("episode"))).alias("episode_ahead"),
-        ),
-        "reach",
-    )
-    joins_here = F.col("is_trigger") | (F.col("newest_other") >= F.col("seq")) | (F.col("newest_own") > F.col("seq"))
-    joins_ahead = F.col("from_ahead") <= F.col("ts_us")
+    # One row per bin holds the last and the first trigger of every rule, and the correlation they are in
     # a correlation's key needs its founding alert, so the small episode table joins first
     names = stage(opening.join(founding, [*KEY, "episode"]).select(
         *KEY, "episode", "first_seen", "founding_alert_id",
@@ -650,18 +631,31 @@ def episodes(
         first["mitre_techniques"].alias("mitre_techniques"),
         F.col("event_id").alias("founding_event_id"),
     ), "names")
+    reach = stage(
+        placed.where("newest is not null").groupBy(*KEY, "bin")
+        .agg(F.first("episode").alias("episode"), F.collect_list(F.struct("rule_order", "newest", "lo")).alias("takers"))
+        .join(names.select(*KEY, "episode", "correlation_id"), [*KEY, "episode"])
+        .select(*KEY, "bin", "correlation_id", "takers"),
+        "reach",
+    )
+    ahead = reach.select(*KEY, (F.col("bin") - 1).alias("bin"), F.col("correlation_id").alias("ahead_id"), F.col("takers").alias("ahead"))
+
+    def takes_here(t: Column) -> Column:
+        """An alert isn't taken by itself, but by later ones of its rule."""
+        same_rule = t["rule_order"].eqNullSafe(F.col("rule_order"))
+        return _takes(F.col("asked_by"), t["rule_order"]) & F.when(same_rule, t["newest"] > F.col("seq")).otherwise(t["newest"] >= F.col("seq"))
+
+    def takes_ahead(t: Column) -> Column:
+        return _takes(F.col("asked_by"), t["rule_order"]) & (t["lo"] - F.col("window_us") <= F.col("ts_us"))
+
+    joins_here = F.col("is_trigger") | F.exists("takers", takes_here)
     members = (
-        scored.join(reach.withColumnsRenamed({k: f"of_{k}" for k in (*KEY, "bin")}), [
-            *[F.col(k) == F.col(f"of_{k}") for k in (*KEY, "bin")], F.col("rule_order").eqNullSafe(F.col("own_order")),
-            F.col("asked_by") == F.col("own_asked_by"),
-        ])
+        scored.join(reach, [*KEY, "bin"], "left").join(ahead, [*KEY, "bin"], "left")
         .select(
-            *KEY, F.when(joins_here, F.col("episode_here")).when(joins_ahead, F.col("episode_ahead")).alias("episode"),
-            "alert_id", "event_id", F.timestamp_micros("ts_us").alias("timestamp"), "rule_id", "severity", "dataset_id",
+            F.when(joins_here, F.col("correlation_id")).when(F.exists("ahead", takes_ahead), F.col("ahead_id")).alias("correlation_id"),
+            *KEY, "alert_id", "event_id", F.timestamp_micros("ts_us").alias("timestamp"), "rule_id", "severity", "dataset_id",
         )
-        .where("episode is not null")
-        .join(names.select(*KEY, "episode", "correlation_id"), [*KEY, "episode"])
-        .select("correlation_id", *KEY, "alert_id", "event_id", "timestamp", "rule_id", "severity", "dataset_id")
+        .where("correlation_id is not null")
     )
     members = stage(members, "members")
     # two levels: alerts of one event first, so a hot episode is counted in parallel
